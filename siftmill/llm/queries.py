@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .bpe import count_tokens, encode_corpus, tokenizer_file
 from .consolidate import Field, consolidate, decayed
+from .mixing import mix
 from .topn import latest, top_n
 
 
@@ -148,8 +150,40 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(files, "digest", fields).withColumnRenamed("digest", "sha256")
 
 
+# --- p6: encoding of the whole corpus -------------------------------------------------------------------------------
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    path, pattern = tokenizer_file()
+    return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, pattern)
+
+
+# --- p7: mixing sources to target weights ---------------------------------------------------------------------------
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Of equal texts one document stands for all, that with the smallest doc_id among the listed sources, so no text is used beyond its cap."""
+    path, pattern = tokenizer_file()
+    weights = table(spark, sf_dir, "source_weights")
+    docs = table(spark, sf_dir, "documents").where("text <> ''").join(F.broadcast(weights.select("source")), "source", "left_semi")
+    sized = count_tokens(docs.select("doc_id", "source", F.sha2("text", 256).alias("same"), "text"), "text", path, pattern)
+    texts = sized.groupBy("same").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("first")).select("first.*")
+    return mix(texts, weights)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_records": p4_records}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
