@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stored, table
 from .bpe import count_tokens, encode_corpus, tokenizer_file
 from .consolidate import Field, consolidate, decayed
 from .mixing import mix
+from .neardup import near_duplicates
 from .topn import latest, top_n
 
 
@@ -48,6 +49,43 @@ SELECT primary_domain, CAST(domain_rank AS INT) AS domain_rank, id FROM (
 """
 
 
+# --- p2: near-duplicate records ---------------------------------------------------------------------------------------
+
+
+def _near_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, sf_dir, "files").select("id", "content_sample"), "id", "content_sample", 0.6, words=3, min_words=20)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files whose samples share 0.6 of their word triples though their xxhash differs or is missing.
+
+    The pairs of classes are expanded to pairs of files. Within a class, files with the same xxhash are one variant and
+    only different variants are paired, so copies with one hash cost nothing however many they are.
+    """
+    members, links = _near_samples(spark, sf_dir)
+    hashes = table(spark, sf_dir, "files").select("id", "xxhash")
+    # a missing hash differs from all others: such a file is a variant of its own
+    own = F.coalesce(F.concat(F.lit("="), "xxhash"), F.concat(F.lit("?"), F.col("id").cast("string")))
+    files = stored(members.join(hashes, "id").select("class_id", "id", own.alias("variant")), "p2-files")
+
+    a, b = (files.select(F.col("class_id").alias(f"class_{x}"), F.col("id").alias(f"id_{x}"), F.col("variant").alias(f"variant_{x}")) for x in "ab")
+    across = links.join(a, "class_a").join(b, "class_b").where("variant_a <> variant_b").select("id_a", "id_b")
+
+    several = files.groupBy("class_id").agg(F.min("variant").alias("low"), F.max("variant").alias("high")).where("low < high").select("class_id")
+    variants = files.join(several, "class_id", "left_semi").select("class_id", "variant").distinct()
+    of = lambda x: variants.select("class_id", F.col("variant").alias(f"variant_{x}"))
+    couples = of("a").join(of("b"), "class_id").where("variant_a < variant_b")
+    within = couples.join(a.withColumnRenamed("class_a", "class_id"), ["class_id", "variant_a"]).join(b.withColumnRenamed("class_b", "class_id"), ["class_id", "variant_b"]).select("id_a", "id_b")
+    return across.unionByName(within).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each file: its class of equal samples and how many other classes are linked to it."""
+    members, links = _near_samples(spark, sf_dir)
+    degree = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 # --- p4: best representative of each duplicate group ----------------------------------------------------------------
 
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -183,7 +221,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
