@@ -77,22 +77,22 @@ def budgets(sources: Sequence[tuple[str, float, int, int]], total: int) -> list[
     return [Budget(s, w, r, a, whole[i]) for i, (s, w, r, a) in enumerate(sources)]
 
 
-def reachable_total(sources: Sequence[tuple[str, float, int, int]], shortfall: float) -> int:
-    """The greatest total at which the shares that sources lack because of their caps add up to at most ``shortfall``.
+def common_total(sources: Sequence[tuple[str, float, int, int]], met: float) -> int:
+    """The size of the largest mixture in which sources with ``met`` of all weight get exactly their weight times one level.
 
-    Sources without tokens don't count: no total would give them a share.
+    A source's level is its cap by its weight. The sources of the lowest levels, with at most 1 - ``met`` of the weight, give
+    all they have; so a few tiny sources don't shrink the mixture.
     """
-    able = [(w, repeats * available) for _, w, repeats, available in sources if w > 0 and repeats * available > 0]
-    weights = sum(w for w, _ in able)
-
-    def lacking(total: int) -> float:
-        return sum(max(0.0, w / weights - cap / total) for w, cap in able)
-
-    low, high = 0, sum(cap for _, cap in able)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if lacking(middle) <= shortfall else (low, middle - 1)
-    return low
+    able = sorted((repeats * available / w, w, repeats * available) for _, w, repeats, available in sources if w > 0 and repeats * available > 0)
+    if not able:
+        return 0
+    weight, below, level = sum(w for _, w, _ in able), 0.0, able[-1][0]
+    for at, w, _ in able:
+        below += w
+        if below > (1.0 - met) * weight + 1e-9:
+            level = at
+            break
+    return math.floor(sum(min(cap, w * level) for _, w, cap in able))
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
@@ -154,13 +154,13 @@ def mix(
     weight: str = "target_weight",
     max_repeats: str = "max_repeats",
     total: int | None = None,
-    shortfall: float = 0.05,
+    met: float = 0.75,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, size, copies) and its report by source.
 
-    ``sized`` has one row for each text that may be used; ``total`` defaults to the most tokens at
-    which the shares missed by sources too small for theirs add up to at most ``shortfall`` (0: all shares are met).
+    ``sized`` has one row for each text that may be used; ``total`` defaults to the most
+    tokens at which sources with ``met`` of the weight keep their proportions exactly (1: all sources that have tokens do).
     Defined cases: rows of sources that aren't listed, of null source, or of null or zero size take no part; a listed
     source without rows or with a null weight is reported with nothing; a source listed twice raises an error; equal
     hashes are ordered by key; an empty table gives an empty mixture; other columns don't matter.
@@ -180,7 +180,7 @@ def mix(
     counts = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sums = {r["source"]: (int(r["t"]), int(r["l"] or 0)) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t"), F.sum(F.when(F.col("size") > LONGEST, F.col("size") * F.col("n"))).alias("l")).collect()}
     sources = [(r["source"], max(0.0, r["weight"] or 0.0), max(0, r["repeats"] or 0), sums.get(r["source"], (0, 0))[0]) for r in wanted]
-    plan = budgets(sources, reachable_total(sources, shortfall) if total is None else total)
+    plan = budgets(sources, common_total(sources, met) if total is None else total)
 
     share = {b.source: b.rest / b.available if b.available else 0.0 for b in plan}
     rows = [(b.source, b.weight, b.max_repeats, b.available, b.tokens, b.passes, b.rest, share[b.source]) for b in plan]
