@@ -30,6 +30,8 @@ MASK48 = np.uint64((1 << 48) - 1)
 #: Words whose hashes a Python worker keeps.
 KNOWN_WORDS = 1_000_000
 ROWS_AT_ONCE = 2_000
+#: Ids of texts to compare that are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -179,7 +181,9 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words:
     pairs = met.alias("a").join(met.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.class_id") < F.col("b.class_id")))
     pairs = stored(pairs.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct(), "neardup-pairs")
 
-    needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
+    needed = stored(pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct(), "neardup-needed")
+    if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
     arrays, found = shingles("text", words)
     sets = stored(source.join(needed, "id", "left_semi").dropDuplicates(["id"]).withColumn("w", found).select("id", arrays.alias("s")), "neardup-sets")
     both = F.size(F.array_intersect("sa", "sb"))
