@@ -11,6 +11,7 @@ from ..session import stored, table
 from .bpe import count_tokens, encode_corpus, tokenizer_file
 from .consolidate import Field, consolidate, decayed
 from .mixing import mix
+from .mojibake import repair
 from .neardup import near_duplicates
 from .topn import latest, top_n
 
@@ -220,8 +221,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+# --- p8: garbled text from wrong character encoding ------------------------------------------------------------------
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged documents with their text as far as it could be restored."""
+    return repair(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged documents."""
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
