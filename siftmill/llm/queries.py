@@ -13,6 +13,7 @@ from .consolidate import Field, consolidate, decayed
 from .mixing import mix
 from .mojibake import repair
 from .neardup import near_duplicates
+from .secrets import find_secrets
 from .topn import latest, top_n
 
 
@@ -189,6 +190,21 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(files, "digest", fields).withColumnRenamed("digest", "sha256")
 
 
+# --- p5: credentials embedded in source code -------------------------------------------------------------------------
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples that hold credentials, with these hidden and all else unchanged."""
+    return find_secrets(table(spark, sf_dir, "files").select("id", "content_sample"), "id", "content_sample").select("id", F.size("found").alias("n_found"), "redacted")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on which a credential begins."""
+    found = find_secrets(table(spark, sf_dir, "files").select("id", "content_sample"), "id", "content_sample")
+    lines = F.array_distinct(F.transform("found", lambda f: f["line_number"]))
+    return found.select("id", F.explode(lines).alias("line_number"))
+
+
 # --- p6: encoding of the whole corpus -------------------------------------------------------------------------------
 
 
@@ -235,7 +251,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
