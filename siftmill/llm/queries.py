@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored, table
 from .bpe import count_tokens, encode_corpus, tokenizer_file
+from .codedocs import documented
 from .consolidate import Field, consolidate, decayed
 from .mixing import mix
 from .mojibake import repair
@@ -88,6 +89,19 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+# --- p3: functions paired with their documentation -----------------------------------------------------------------
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code-description pairs of all source files."""
+    return documented(table(spark, sf_dir, "code_files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documented functions and where their names stand."""
+    return p3_pairs(spark, sf_dir).select("file_id", "name", "line_number")
+
+
 # --- p4: best representative of each duplicate group ----------------------------------------------------------------
 
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -251,7 +265,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
