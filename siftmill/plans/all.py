@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import dedup, functions, relations, scores  # noqa: F401
+from . import dedup, functions, library, relations, scores  # noqa: F401
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
