@@ -196,3 +196,13 @@ def allowed_path(path: Column, protected: list[str], allowed: list[str]) -> Colu
         case = case.when(~reduce(lambda a, b: a | b, (within(e) for e in allowed)), "path is outside the configured scan allowlist")
     reason = case.otherwise("ok")
     return F.struct((reason == "ok").alias("ok"), reason.alias("reason"))
+
+
+ABSOLUTE_PATH = r"\b[A-Za-z]:\\(?:[^\\\s]+\\)*[^\\\s,;:)]+"
+
+
+def without_paths(text: Column) -> Column:
+    """A text with each absolute path of a drive replaced by its opaque identity."""
+    between, found = F.split(text, ABSOLUTE_PATH), F.regexp_extract_all(text, F.lit(ABSOLUTE_PATH), F.lit(0))
+    marks = F.concat(F.transform(found, lambda p: F.concat(F.lit("[path:"), path_id(p), F.lit("]"))), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import advice, dedup, functions, library, reads, relations, scores  # noqa: F401
+from . import advice, dedup, functions, history, library, reads, relations, scores  # noqa: F401
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -256,3 +256,15 @@ def kl_local_classification(spark, d):
 
     files = table(spark, d, "files")
     return local_classification(files.join(T.top_keywords(files, "id", "content_sample"), "id"))
+
+
+_RAW = s(P.ABSOLUTE_PATH)
+_IDS = rf"list_transform(regexp_extract_all(text, {_RAW}, 0), lambda p: '[path:' || substring(sha256(lower(regexp_replace(p, '[/\\]+', '/', 'g'))), 1, 20) || ']')"
+
+
+@query(
+    "f31_text_without_paths",
+    rf"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(list_zip(regexp_split_to_array(text, {_RAW}), list_concat({_IDS}, [''])), lambda z: z[1] || coalesce(z[2], '')), '') END AS text FROM documents""",
+)
+def f31_text_without_paths(spark, d):
+    return table(spark, d, "documents").select("doc_id", P.without_paths(C("text")).alias("text"))
