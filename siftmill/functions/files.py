@@ -29,15 +29,6 @@ def ladder(c: Column, steps: list[tuple[float, object]], otherwise: object) -> C
     return case.otherwise(F.lit(otherwise))
 
 
-def first_rule(c: Column, rules) -> Column:
-    """The name of the first rule whose pattern occurs."""
-    case = None
-    for pattern, name in rules:
-        hit = has(c, pattern)
-        case = F.when(hit, name) if case is None else case.when(hit, name)
-    return case
-
-
 def instant(c: Column) -> Column:
     """ISO-8601 text as an instant, UTC unless an offset is given; null where it can't be read."""
     return F.when(c.rlike(ISO_INSTANT), c.try_cast("timestamp"))
@@ -67,15 +58,25 @@ def is_binary(extension: Column, kind: Column) -> Column:
     return F.coalesce(extension.isin(*X.BINARY), F.lit(False)) | ~(kind.startswith("text/") | kind.isin(*X.TEXT_MIME))
 
 
+def _first_answer(c: Column, rules, confidence: float) -> Column:
+    case = None
+    for pattern, name in rules:
+        answer = F.struct(F.lit(name).alias("domain"), F.lit(confidence).alias("confidence"))
+        case = F.when(has(c, pattern), answer) if case is None else case.when(has(c, pattern), answer)
+    return case
+
+
 def domain(extension: Column, path: Column, content: Column) -> Column:
     """(domain, confidence) by extension, else by path, else by content."""
     by_extension = lookup(extension, X.DOMAIN_BY_EXTENSION)
-    by_path = first_rule(F.lower(path), X.DOMAIN_BY_PATH)
-    by_content = first_rule(F.lower(content), X.DOMAIN_BY_CONTENT)
-    return F.struct(
-        F.coalesce(by_extension, by_path, by_content, F.lit("UNKNOWN")).alias("domain"),
-        F.when(by_extension.isNotNull(), X.DOMAIN_CONFIDENCE["extension"]).when(by_path.isNotNull(), X.DOMAIN_CONFIDENCE["path"]).when(by_content.isNotNull(), X.DOMAIN_CONFIDENCE["content"]).otherwise(0.0).alias("confidence"),
-    )
+
+    def found(name: Column, confidence: float) -> Column:
+        return F.struct(name.alias("domain"), F.lit(confidence).alias("confidence"))
+
+    sure = X.DOMAIN_CONFIDENCE
+    # each rule yields the whole answer, so no pattern is tried twice
+    answers = [F.when(by_extension.isNotNull(), found(by_extension, sure["extension"])), _first_answer(F.lower(path), X.DOMAIN_BY_PATH, sure["path"]), _first_answer(F.lower(content), X.DOMAIN_BY_CONTENT, sure["content"])]
+    return F.coalesce(*answers, found(F.lit("UNKNOWN"), 0.0))
 
 
 def any_of(c: Column, patterns) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .fixed import STOPWORDS
 
 KEYWORD_LIMIT = 50
@@ -68,7 +69,7 @@ def top_keywords(df: DataFrame, id: str, text: str, limit: int = KEYWORD_LIMIT)
 
     Texts without any keep an empty list. Tokens are counted before they are ranked, so a long text is no large group.
     """
-    base = df.select(F.col(id).alias("id"), F.col(text).alias("t"))
+    base = spread(df.select(F.col(id).alias("id"), F.col(text).alias("t")), "id")
     token = base.select("id", F.posexplode(tokens(F.col("t"))).alias("pos", "w")).where((F.length("w") >= 3) & ~F.col("w").isin(*STOPWORDS))
     counted = token.groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as P
 from ..functions import text as T
-from ..session import stored
+from ..session import spread, stored
 
 C = F.col
 
@@ -139,7 +139,7 @@ def semantic_keys(files: DataFrame, classifications: DataFrame, threshold: float
     """Files with the seed of their semantic cluster: same primary domain and topic, keyword overlap with the seed."""
     best = classifications.groupBy("file_id").agg(F.max(F.struct(F.coalesce(C("score"), F.lit(0.0)).alias("s"), (-C("id")).alias("o"), C("domain"), C("topic"))).alias("b"))
     block = F.concat_ws(":", "b.domain", "b.topic")
-    docs = files.join(best.select(C("file_id").alias("id"), block.alias("block")), "id").select("id", "block", T.keyword_set(F.coalesce(C("content_sample"), F.lit(""))).alias("k"))
+    docs = spread(files.select("id", "content_sample"), "id").join(best.select(C("file_id").alias("id"), block.alias("block")), "id").select("id", "block", T.keyword_set(F.coalesce(C("content_sample"), F.lit(""))).alias("k"))
     member, links = overlap_links(docs, "block", "id", "k", threshold)
     stars = first_stars(links, "class_a", "class_b").select(C("node").alias("class_id"), "seed")
     keyed = member.join(stars, "class_id", "left").select("id", F.concat(F.lit("sem:"), "block", F.lit(":"), F.coalesce("seed", "class_id").cast("string")).alias("cluster"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as P
 from ..functions import text as T
+from ..session import spread
 
 C = F.col
 
@@ -54,7 +55,7 @@ def references(files: DataFrame) -> DataFrame:
     """
     named = files.select("id", F.lower("filename").alias("name")).where(F.length("name") >= SHORTEST_NAME)
     names = named.select("name").distinct()
-    texts = files.where(F.length("content_sample") > 0).select(C("id").alias("source"), F.lower("content_sample").alias("text"), F.lower("filename").alias("own"))
+    texts = spread(files.where(F.length("content_sample") > 0).select("id", "content_sample", "filename"), "id").select(C("id").alias("source"), F.lower("content_sample").alias("text"), F.lower("filename").alias("own"))
 
     stem, ext = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1), F.regexp_extract("name", r"\.([^.]*)$", 1)
     last = F.substring_index(stem, ".", -1)

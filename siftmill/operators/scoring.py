@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import files as P
 from ..functions import fixed as X
 from ..functions import text as T
+from ..session import spread
 
 C = F.col
 RECENCY = [(7, 100.0), (30, 80.0), (90, 60.0), (365, 40.0), (730, 20.0)]
@@ -53,7 +54,7 @@ def copies(files: DataFrame) -> DataFrame:
 
 def quality() -> Column:
     text = F.coalesce(C("content_sample"), F.lit(""))
-    words = T.words(text)
+    words = C("__words")
     distinct = F.size(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.lower(w))))
     structure = (
         F.when(T.has(text, r"(?m)^#{1,6}\s|^[A-Z][A-Z\s]{5,}$"), 30.0).otherwise(0.0)
@@ -132,7 +133,7 @@ def score_files(files: DataFrame, classifications: DataFrame, as_of: str, refere
 
     Missing values lower what depends on them, they never drop a file.
     """
-    facts = files.withColumn("digest", P.digest(C("sha256"))).join(copies(files), "digest", "left").join(classification_facts(classifications).withColumnRenamed("file_id", "id"), "id", "left")
+    facts = spread(files, "id").withColumn("digest", P.digest(C("sha256"))).join(copies(files), "digest", "left").join(classification_facts(classifications).withColumnRenamed("file_id", "id"), "id", "left")
     if references is not None:
         facts = facts.join(references.select(C("file_id").alias("id"), "references"), "id", "left")
     else:
@@ -146,6 +147,7 @@ def score_files(files: DataFrame, classifications: DataFrame, as_of: str, refere
         .withColumn("days_modified", P.days_since(C("modified_at"), now))
         .withColumn("days_accessed", P.days_since(C("accessed_at"), now))
         .withColumn("sensitivity", sensitivity())
+        .withColumn("__words", T.words(F.coalesce(C("content_sample"), F.lit(""))))
         .select("*", quality().alias("quality"), importance().alias("importance"), staleness().alias("staleness"), uniqueness().alias("uniqueness"), risk().alias("risk"))
     )
     return facts.select(

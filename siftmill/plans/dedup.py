@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import files as P
 from ..functions import text as T
 from ..operators import dedup
-from ..session import table
+from ..session import spread, table
 from .catalog import query, s, s_normal
 from ..functions.text import WHITE
 from .scores import s_digest
@@ -84,7 +84,7 @@ SELECT block, class_a, class_b, i / CAST(n - i AS DOUBLE) AS similarity FROM j W
 def d3_semantic_links(spark, d):
     """Pairs of classes of equal keyword sets, within primary domain and topic, whose overlap is at least 0.8."""
     best = table(spark, d, "classifications").groupBy("file_id").agg(F.max(F.struct(F.coalesce(C("score"), F.lit(0.0)).alias("s"), (-C("id")).alias("o"), C("domain"), C("topic"))).alias("b"))
-    docs = table(spark, d, "files").join(best.select(C("file_id").alias("id"), F.concat_ws(":", "b.domain", "b.topic").alias("block")), "id").select("id", "block", T.keyword_set(F.coalesce(C("content_sample"), F.lit(""))).alias("k"))
+    docs = spread(table(spark, d, "files").select("id", "content_sample"), "id").join(best.select(C("file_id").alias("id"), F.concat_ws(":", "b.domain", "b.topic").alias("block")), "id").select("id", "block", T.keyword_set(F.coalesce(C("content_sample"), F.lit(""))).alias("k"))
     return dedup.overlap_links(docs, "block", "id", "k", 0.8)[1]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import files as P
 from ..functions import fixed as X
 from ..functions import text as T
-from ..session import table
+from ..session import spread, table
 from .catalog import AS_OF, query, s, s_any, s_contains, s_days, s_first, s_has, s_in, s_lookup, s_matches, s_normal, s_words
 from ..functions.text import WHITE
 
@@ -62,7 +62,7 @@ _BY_PATH, _BY_CONTENT = s_first("lower(path)", X.DOMAIN_BY_PATH), s_first("lower
 FROM (SELECT id, {s_lookup('extension', X.DOMAIN_BY_EXTENSION)} AS e, {_BY_PATH} AS p, {_BY_CONTENT} AS c FROM files)""",
 )
 def f6_domain(spark, d):
-    return table(spark, d, "files").select("id", P.domain(C("extension"), C("path"), C("content_sample")).alias("x")).select("id", "x.*")
+    return spread(table(spark, d, "files").select("id", "extension", "path", "content_sample"), "id").select("id", P.domain(C("extension"), C("path"), C("content_sample")).alias("x")).select("id", "x.*")
 
 
 @query("f8_normalized_hash", f"SELECT doc_id, {s_normal('text')} AS normal, sha256({s_normal('text')}) AS hash FROM documents")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import library as L
-from ..session import table
+from ..session import spread, table
 from .catalog import query, s, s_has, s_in, s_lookup, s_matches, s_words
 
 C = F.col
@@ -15,12 +15,12 @@ S_LANG = s_lookup("lower(extension)", X.LANGUAGES, "'unknown'")
 
 
 def code(spark, d):
-    return table(spark, d, "code_files").where("content is not null").select("file_id", "path", "extension", "content", "size_bytes")
+    return spread(table(spark, d, "code_files").where("content is not null").select("file_id", "path", "extension", "content", "size_bytes"), "file_id")
 
 
 def texts(spark, d):
     """Samples as contents: logs, settings and notes have no other text."""
-    return table(spark, d, "files").where("content_sample is not null").select(C("id").alias("file_id"), "path", "extension", C("content_sample").alias("content"), "size_bytes")
+    return spread(table(spark, d, "files").where("content_sample is not null").select(C("id").alias("file_id"), "path", "extension", C("content_sample").alias("content"), "size_bytes"), "file_id")
 
 
 S_CODE = "(SELECT file_id, path, extension, content, size_bytes FROM code_files WHERE content IS NOT NULL)"

@@ -59,3 +59,12 @@ def stored(df: DataFrame, name: str = "part", partition_by: list[str] | None = N
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` over all cores where its input has fewer partitions than these, as a single small file has.
+
+    Inputs of many files come as they are: nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
