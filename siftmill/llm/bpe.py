@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Words kept per Python worker: the table of a worker is emptied when it holds that many.
 CACHED_WORDS = 400_000
 #: Longer words aren't kept.
@@ -275,5 +277,5 @@ def _mapped(df: DataFrame, text: str, path: str, pattern: str, out: str, count_o
     inner = df.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     kind = T.LongType() if count_only else T.ArrayType(T.IntegerType())
     schema = T.StructType([*inner.schema.fields[1:], T.StructField("n_tokens" if count_only else "ids", kind)])
-    done = inner.mapInArrow(_batches(path, pattern, count_only), schema)
+    done = spread(inner, "c0" if rest else "t").mapInArrow(_batches(path, pattern, count_only), schema)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col(schema.fields[-1].name).alias(out))

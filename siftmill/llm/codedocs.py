@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Languages by extension, words that look like a call but aren't, marks of empty documentation.
 EXTENSIONS = {"py": "python", "pyw": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust"}
 CONTROL = {"if", "for", "while", "switch", "catch", "with", "return", "function", "super", "this", "new", "throw", "else", "do", "try", "finally", "synchronized", "await", "yield", "typeof", "delete", "void", "in", "of", "case", "import", "assert", "record", "class", "enum", "interface"}
@@ -568,4 +570,4 @@ def documented(df: DataFrame, id: str = "file_id", content: str = "content", lan
             )
 
     source = df.select(F.col(id).alias("id"), F.col(content).alias("content"), F.col(language).alias("language"), F.col(extension).alias("extension"), F.col(path).alias("path")).where("content <> ''")
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id)
+    return spread(source, "id").mapInArrow(run, schema).withColumnRenamed("id", id)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored, shared_dir
+from ..session import shared_dir, spread, stored
 
 WORD = "[a-z0-9_]+"
 MASK48 = np.uint64((1 << 48) - 1)
@@ -152,10 +152,10 @@ def _signed(words: int, min_words: int, bands: int, rows: int):
     return run
 
 
-def shingles(text: str, words: int):
-    """The distinct hashed shingles of a text as a column, for the exact comparison."""
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({WORD})"), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(words)]))), found
+def hashed_shingles(words: int):
+    """The distinct hashed shingles of the words in ``w``, for the exact comparison."""
+    at = F.sequence(F.lit(0), F.size("w") - words)
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(words)])))
 
 
 def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words: int = 5, min_words: int = 5, bands: int = 32, rows: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +172,7 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words:
     spark = df.sparkSession
     shared_dir(spark)
     source = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    signed = stored(source.mapInArrow(_signed(words, min_words, bands, rows), "id long, one long, two long, bands array<long>"), "neardup-signed")
+    signed = stored(spread(source, "id").mapInArrow(_signed(words, min_words, bands, rows), "id long, one long, two long, bands array<long>"), "neardup-signed")
     classes = signed.groupBy("one", "two").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"))
     classes = stored(classes, "neardup-classes")
     members = signed.select("id", "one", "two").distinct().join(classes.select("one", "two", "class_id"), ["one", "two"]).select("id", "class_id")
@@ -184,8 +184,9 @@ def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words:
     needed = stored(pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct(), "neardup-needed")
     if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    arrays, found = shingles("text", words)
-    sets = stored(source.join(needed, "id", "left_semi").dropDuplicates(["id"]).withColumn("w", found).select("id", arrays.alias("s")), "neardup-sets")
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
+    texts = source.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    sets = stored(texts.withColumn("w", found).select("id", hashed_shingles(words).alias("s")), "neardup-sets")
     both = F.size(F.array_intersect("sa", "sb"))
     links = (
         pairs.join(sets.select(F.col("id").alias("class_a"), F.col("s").alias("sa")), "class_a")

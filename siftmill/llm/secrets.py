@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, stored
+from ..session import shared_dir, spread
 
 #: Words that the dictionary may have; texts, and share of all texts, in which a word must occur.
 DICTIONARY, LEAST_TEXTS, LEAST_SHARE = 100_000, 3, 5e-5
@@ -364,5 +364,5 @@ def find_secrets(df: DataFrame, id: str, text: str) -> DataFrame:
                 names=["id", "found", "redacted"],
             )
 
-    source = df.select(F.col(id).alias("id"), F.col(text).alias("t")).where("t <> ''")
+    source = spread(df.select(F.col(id).alias("id"), F.col(text).alias("t")).where("t <> ''"), "id")
     return source.mapInArrow(run, f"id {kind}, found array<struct<line_number:int,kind:string>>, redacted string").withColumnRenamed("id", id)
