@@ -52,7 +52,7 @@ class Lexed:
 ISLANDS = {
     "python": re.compile(r"(?P<comment>#[^\n]*)|(?P<string>(?i:\b[rbuf]{1,2})?(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\[\s\S])*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\[\s\S])*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|\Z)))"),
     "javascript": re.compile(
-        r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\[\s\S])*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|\Z)|(?<=[=(,:!&|?;{}\[\n])(?P<space>[ \t]*)/(?![*/\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)|(?P<template>`)"
+        r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\[\s\S])*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|\Z)|(?:(?<=[=(,:!&|?;{}\[\n])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase))(?P<space>[ \t]*)/(?![*/\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)|(?P<template>`)"
     ),
     "java": re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"\"\"[\s\S]*?(?:(?<!\\)\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)+')"),
     "go": re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z)|`[^`]*(?:`|\Z)|'(?:[^'\\\n]|\\.)+')"),

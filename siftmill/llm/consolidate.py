@@ -40,8 +40,8 @@ class Field:
 
 def decayed(trust: Column, at: Column, as_of: Column, half_life_days: float) -> Column:
     """Trust times 2^(-age / half life); rows without an instant get the vote of one ten half-lives old."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(86_400e6))
-    return trust * F.pow(F.lit(0.5), F.least(F.coalesce(age / half_life_days, F.lit(10.0)), F.lit(10.0)))
+    age = (F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(86_400e6) / half_life_days
+    return trust * F.pow(F.lit(0.5), F.when(age.isNull(), F.lit(10.0)).otherwise(F.least(F.greatest(age, F.lit(0.0)), F.lit(10.0))))
 
 
 def consolidate(df: DataFrame, key: str, fields: Sequence[Field], min_rows: int = 2) -> DataFrame:

@@ -64,7 +64,9 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray | N
     with np.errstate(over="ignore"):
         element = mixed(element ^ mixed(np.array([seed], np.uint64)))
         inside = None
-        if weight is not None:  # one row for each unit of weight, the last one may be partial
+        if weight is None:
+            element = mixed(element)
+        else:  # one row for each unit of weight, the last one may be partial
             slabs = np.ceil(weight).astype(np.int64)
             first = np.repeat(np.cumsum(slabs) - slabs, slabs)
             level = np.arange(len(first)) - first
