@@ -37,7 +37,7 @@ def instant(c: Column) -> Column:
 def days_since(c: Column, as_of: Column) -> Column:
     """Whole days from an instant's text to ``as_of``, none before it; unreadable and missing ones count as long ago."""
     age = F.floor((F.unix_micros(as_of) - F.unix_micros(instant(c))) / F.lit(86_400_000_000))
-    return F.coalesce(F.greatest(F.lit(0), age), F.lit(NEVER)).cast("int")
+    return F.when(age.isNull(), NEVER).otherwise(F.greatest(F.lit(0), age)).cast("int")
 
 
 def digest(c: Column) -> Column:

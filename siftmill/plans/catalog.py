@@ -72,7 +72,8 @@ def s_instant(c: str) -> str:
 
 
 def s_days(c: str) -> str:
-    return f"CAST(coalesce(greatest(0, floor((epoch_us(TIMESTAMP '{AS_OF}') - ({s_instant(c)})) / 86400000000.0)), 9999) AS INT)"
+    age = f"floor((epoch_us(TIMESTAMP '{AS_OF}') - ({s_instant(c)})) / 86400000000.0)"
+    return f"CAST(CASE WHEN {age} IS NULL THEN 9999 ELSE greatest(0, {age}) END AS INT)"
 
 
 def s_words(c: str) -> str:
