@@ -198,3 +198,16 @@ _STATS = f"SELECT domain, count(*) AS n FROM ({_NAMED}) c JOIN files f ON f.id =
 @query("x3_suggestions", f"SELECT * FROM (SELECT domain AS subject, CASE WHEN n > 200 THEN 'high' ELSE 'medium' END AS reason, n AS weight FROM ({_STATS}) WHERE n > 50 AND domain NOT IN ('PROG', 'UNKNOWN') UNION ALL SELECT project, 'unfinished', count(*) FROM ({S_INCOMPLETE}) GROUP BY project HAVING count(*) >= 3) ORDER BY weight DESC, subject LIMIT 20")
 def x3_suggestions(spark, d):
     return advice.suggestions(domain_stats(spark, d), advice.incomplete_projects(files(spark, d)))
+
+
+@query(
+    "q10_export_report",
+    f"""SELECT 'domain' AS section, domain AS name, CAST(n AS BIGINT) AS value FROM (SELECT domain, count(*) AS n FROM ({_NAMED}) c JOIN files f ON f.id = c.file_id GROUP BY domain)
+UNION ALL SELECT 'recommendation', category, CAST(affected_count AS BIGINT) FROM ({S_RECOMMENDATIONS}) UNION ALL SELECT 'proposal', kind, count(*) FROM ({S_PROPOSALS}) GROUP BY kind UNION ALL SELECT 'scan', coalesce(status, ''), count(*) FROM scans GROUP BY 2""",
+)
+def q10_export_report(spark, d):
+    """What a report of the corpus says, as (section, name, value)."""
+    line = lambda rows, section, name, value: rows.select(F.lit(section).alias("section"), F.col(name).alias("name"), F.col(value).cast("long").alias("value"))
+    found = proposals(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    scans = table(spark, d, "scans").groupBy(F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return line(domain_stats(spark, d), "domain", "domain", "file_count").unionByName(line(advice.recommendations(hits(spark, d)), "recommendation", "category", "affected_count")).unionByName(line(found, "proposal", "kind", "n")).unionByName(line(scans, "scan", "status", "n"))
