@@ -52,7 +52,7 @@ ASSIGNED = re.compile(
 PAIRED = re.compile(rf"[\"'](?P<key>[A-Za-z_][\w.\-]*)[\"']\s*,\s*(?P<value>{QUOTED})|(?:key|name)\s*=\s*[\"'](?P<key2>[A-Za-z_][\w.\-]*)[\"']\s+value\s*=\s*(?P<value2>\"[^\"]*\"|'[^']*')|<(?P<key3>[A-Za-z_][\w.\-]*)>(?P<value3><!\[CDATA\[.*?\]\]>|[^<]+)</|\b(?:set|with|use|add)_?(?P<key4>[A-Z]?\w*)\(\s*(?P<value4>{QUOTED})\s*\)")
 SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<value>[A-Za-z0-9+/_\-.=~]{8,})")
 USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@\"'<>]*:(?P<value>[^\s@\"'<>]+)@")
-FLAG = re.compile(rf"(?<![\w\-])(?:--?(?P<key>[A-Za-z][\w\-]*)\s+(?P<value>{QUOTED}|[^\s\"'`\-][^\s\"'`]*)|sshpass\s+-p\s*(?P<value2>{QUOTED}|\S+)|(?:curl|wget|http)\b.*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<value3>[^\s\"']+)|(?:mysql\w*|psql|mongo\w*|redis-cli)\b.*?\s(?:-p|-a\s)(?P<value4>[^\s\"'\-]\S*))")
+FLAG = re.compile(rf"(?<![\w\-])(?:--?(?P<key>[A-Za-z][\w\-]*)\s+(?P<value>{QUOTED}|[^\s\"'`\-][^\s\"'`]*)|sshpass\s+-p\s*(?P<value2>{QUOTED}|\S+)|(?:curl|wget|http)\b.*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<value3>[^\s\"']+)|(?:mysql\w*|psql|mongo\w*|redis-cli)\b.*?\s(?:-p|-a\s)(?P<value4>{QUOTED}|[^\s\"'\-]\S*))")
 STATED = re.compile(rf"(?i)\b(?P<key>passwor[dt]|passphrase|pass|token|secret|api key|access key|key)\s+(?:(?:is|was|ist)\s+|for\s+[\w.\-]+\s*(?:is\s+|:\s*))(?P<value>{QUOTED}|[^\s,;'\"`<>()]+)")
 NETRC = re.compile(r"(?i)\blogin\s+\S+\s+password\s+(?P<value>\S+)|^\s*[\w.\-*]+:(?:\d{2,5}|\*):[\w.\-*]+:[\w.\-]+:(?P<value2>[^\s:]+)\s*$")
 CALL = re.compile(rf"(?i)\b\w*(?:auth\w*|login|logon|sign_?in|credentials?|connect|userpass\w*)\s*\(\s*(?:{QUOTED})\s*,\s*(?P<value>{QUOTED})")
@@ -224,7 +224,9 @@ def scan(text: str, lexicon: Lexicon) -> list[Found]:
         if (m := OPENED.search(line)) is not None and (sure := named(m["key"])):
             opened = sure
         for m in TOKEN_FORMATS.finditer(line):
-            if not PLACEHOLDER.search(m.group()) and lexicon.residual(m.group()) >= 8 and mixed_kinds(m.group()) >= 2 and any(c.isdigit() or c in "-_" for c in m.group()[4:]):
+            v = m.group()
+            code = v[:4] in ("AKIA", "ASIA") or mixed_kinds(v) >= 2 and any(c.isdigit() or c in "-_" for c in v[4:])
+            if code and not PLACEHOLDER.search(v) and lexicon.residual(v) >= 8:
                 spans.append((m.start(), m.end(), "format"))
         if "=" in line or ":" in line:
             position = 0

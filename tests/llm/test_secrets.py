@@ -13,6 +13,7 @@ FOUND = [
     "machine h.invalid login river password stone5402Tower", "The password is river-stone-71 for the garden account.", f"Token for river: {GHP}", "curl -u river:stone5402Tower https://h.invalid/x", "sshpass -p 'e7NQVT%B1q0v' scp a b:/c",
     f'props.put("a.api.token", "{KEY}");', 'ds.setPassword("kj2xPd!zz9Su");', "x.auth('river', 'stone2592Tower'); // user and password", f"login --token {GHP}", "dsn = Server=h;User Id=a;Password=grio2084Stone;",
     '"url": "AccountName=a;AccountKey=Hn9fqFdf82ctwqN42lb0WKC9YlRUlEj9CEeySjPu1eltcUnCguEPeBhkQ==;Endpoint=h"', "- {user: river, pass: ehAu7q#gmAxw}", "PGPASSWORD=fail5402Zirk", f"https://h.invalid/x?access_token={KEY}{KEY}",
+    "mysql -uriver -p'grai3282Stone' river < a.sql", "login --token " + "AK" + "IA" + "WMKCBGTTZUEURYDD",
     "h.invalid:5432:river:river_svc:dark2020Stone", "secret = \"989dd3d34a9667dfbbc984339311c84f\"", f"//h.invalid/:_authToken={KEY}", '<connection value="Data Source=h;uid=a;pwd=prio2141Stone" />',
 ]
 CLEAN = [
