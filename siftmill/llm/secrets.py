@@ -199,6 +199,8 @@ def scan(text: str, lexicon: Lexicon) -> list[Found]:
                 armor = bool(private)
             opened, running = "", False
             continue
+        if at > len(text):  # the last line may be cut off inside a literal
+            line += next((q for q in "\"'`" if line.count(q) % 2), "")
         spans: list[tuple[int, int, str]] = []
 
         def take(start: int, value: str, sure: str, kind: str) -> bool:
