@@ -13,7 +13,7 @@ C = F.col
 
 CONFIDENCE = {"duplicates": 1.0, "versioned": 0.85, "references": 0.7, "depends_on": 0.8, "supersedes": 0.65}
 #: Characters of a name before its last dot, and behind it, by which names meet texts.
-BEFORE_DOT, BEHIND_DOT = 4, 1
+BEFORE_DOT, BEHIND_DOT = 16, 1
 SHORTEST_NAME = 5
 
 
@@ -38,7 +38,7 @@ def versioned(files: DataFrame) -> DataFrame:
 
 
 def anchors(text: Column) -> Column:
-    """What stands around each dot of a text: up to four characters before it and one behind."""
+    """What stands around each dot of a text: up to ``BEFORE_DOT`` characters before it and ``BEHIND_DOT`` behind."""
     parts = F.split(text, r"\.")
     return F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)),
@@ -50,7 +50,7 @@ def references(files: DataFrame) -> DataFrame:
     """Files whose text names another file (in any letter case, five characters or more) to every file of that name.
 
     A name can only occur where its last dot and what surrounds it occur, so names and texts are joined on these few
-    characters and compared in full after that: no pair that doesn't share them is ever made. Names of fewer than four
+    characters and compared in full after that: no pair that doesn't share them is ever made. Names of fewer than sixteen
     characters before the dot use what there is; names without a dot meet texts on their first five characters.
     """
     named = files.select("id", F.lower("filename").alias("name")).where(F.length("name") >= SHORTEST_NAME)
