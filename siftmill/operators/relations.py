@@ -64,7 +64,7 @@ def references(files: DataFrame) -> DataFrame:
     # a short part before the dot may follow anything, and nothing may stand behind it: all shorter ends are offered
     ends = spots.select("source", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BEFORE_DOT)), lambda k: F.right("before", k))).alias("before"), "behind")
     ends = ends.select("source", "before", F.explode(F.array_distinct(F.array("behind", F.lit("")))).alias("behind"))
-    met = ends.distinct().join(dotted, ["before", "behind"]).select("source", "name")
+    met = ends.join(dotted, ["before", "behind"]).select("source", "name")
     plain = names.where(~C("name").contains(".")).select("name", F.substring("name", 1, SHORTEST_NAME).alias("gram"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - SHORTEST_NAME + 1)), lambda i: F.substring(C("text"), i, F.lit(SHORTEST_NAME)))
     if not plain.isEmpty():
