@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import files as P
-from ..functions import text as T
+from ..functions import fixed as X
 from ..session import spread
 
 C = F.col
@@ -30,7 +30,7 @@ def duplicates(files: DataFrame) -> DataFrame:
 
 def versioned(files: DataFrame) -> DataFrame:
     """Chains from older to newer files of one stem, by the first version mark that two of them or more carry."""
-    marks = [F.when(C("filename").rlike(p), F.lit(i)) for i, p in enumerate(P.X.VERSIONS)]
+    marks = [F.when(C("filename").rlike(p), F.lit(i)) for i, p in enumerate(X.VERSIONS)]
     each = files.select("id", F.coalesce("modified_at", F.lit("")).alias("at"), P.version_stem(C("filename")).alias("stem"), F.explode(F.array_compact(F.array(*marks))).alias("mark"))
     several = each.groupBy("stem", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("stem").agg(F.min("mark").alias("mark"))
     after = F.lead("id").over(Window.partitionBy("stem").orderBy("at", "id"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import files as P
 from ..functions import fixed as X
 from ..functions import text as T
-from ..session import spread, table
-from .catalog import AS_OF, query, s, s_any, s_contains, s_days, s_first, s_has, s_in, s_lookup, s_matches, s_normal, s_words
 from ..functions.text import WHITE
+from ..session import spread, table
+from .catalog import AS_OF, query, s, s_any, s_contains, s_days, s_first, s_in, s_lookup, s_matches, s_normal
 
 C = F.col
 
@@ -79,10 +79,6 @@ def f10_keyword_set(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(keys).alias("n_keywords"), F.array_join(F.array_sort(keys), " ").alias("keywords"))
 
 
-_S_EMPTY = f"length(list_distinct({_S_SET.replace('text', 'a.text')})) = 0 OR length(list_distinct({_S_SET.replace('text', 'b.text')})) = 0"
-_S_BOTH = f"length(list_intersect({_S_SET.replace('text', 'a.text')}, {_S_SET.replace('text', 'b.text')}))"
-
-
 @query(
     "f11_keyword_overlap",
     f"""WITH t AS (SELECT doc_id, {_S_SET} AS k FROM documents)

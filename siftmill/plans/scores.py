@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import files as P
 from ..functions import fixed as X
-from ..functions import text as T
 from ..operators import classify, scoring
 from ..session import table
-from .catalog import AS_OF, query, s, s_any, s_contains, s_days, s_has, s_in, s_ladder, s_lookup, s_words
-from .functions import S_FILE_KEYWORDS
+from .catalog import AS_OF, query, s_any, s_contains, s_days, s_has, s_in, s_ladder, s_lookup, s_words
 
 C = F.col
 
