@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root, held = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(root.parent))), p.read_bytes())
+    data = held.getvalue()
+    path = f"{shared_dir(spark).rstrip('/')}/siftmill-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        out = files.create(place, True)
+        out.write(bytearray(data))
+        out.close()
+    context.addPyFile(path)
+
+
 def stored(df: DataFrame, name: str = "part", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors don't matter.
 
@@ -64,6 +92,7 @@ def forget(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..session import ship_code
+
 # Directories that are never entered.
 SKIPPED = (".git", "__pycache__", "node_modules", ".venv", "venv", ".hf_cache", ".playwright-mcp", "$Recycle.Bin", "System Volume Information", "Windows")
 
@@ -126,6 +128,7 @@ def read_tree(spark: SparkSession, roots: list[str], *, include: list[str] = (),
 
     A path outside what exists gives no rows. All executors must see the tree under the same paths.
     """
+    ship_code(spark)
     spark.dataSource.register(FileTree)
     options = {"roots": json.dumps(list(dict.fromkeys(roots))), "include": json.dumps(list(include)), "exclude": json.dumps(list(exclude)), "protected": json.dumps(list(protected))}
     return spark.read.format("filetree").options(**options, max_file_size=max_file_size, max_depth=max_depth, tasks=tasks).load()
