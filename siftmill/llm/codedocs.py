@@ -183,7 +183,7 @@ def says_something(doc: str | None, name: str) -> bool:
 
 # --- Python -----------------------------------------------------------------------------------------------------------
 
-PY_DEF = re.compile(r"^(?P<indent>[ \t\f]*)(?:[^\n:]*?:[ \t]*)??(?P<head>(?:async[ \t]+)?def[ \t]+(?P<name>\w+))[ \t]*(?P<generic>\[)?", re.M)
+PY_DEF = re.compile(r"^(?=[^\n]*\bdef\b)(?P<indent>[ \t\f]*)(?:[^\n:]*?:[ \t]*)??(?P<head>(?:async[ \t]+)?def[ \t]+(?P<name>\w+))[ \t]*(?P<generic>\[)?", re.M)
 PY_PREFIX = re.compile(r"(?i)^[a-z]*")
 
 
@@ -283,15 +283,15 @@ def python_functions(lexed: Lexed) -> Iterator[Function]:
 
 NAME = r"[A-Za-z_$][\w$]*"
 JS_FUNCTION = re.compile(rf"(?P<head>(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?)\s*(?P<name>{NAME})\s*(?=[(<])")
-JS_METHOD = re.compile(rf"(?:^|(?<=[{{}};,]))(?P<head>[ \t]*(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract|accessor)\s+)*\*?\s*)(?P<name>#?{NAME})\s*\??(?=[(<])", re.M)
-JS_GIVEN = re.compile(rf"(?P<head>(?:export\s+)?(?:default\s+)?(?:(?:const|let|var|public|private|protected|static|readonly)\s+)*(?:{NAME}\s*\.\s*)*)(?P<name>#?{NAME})\s*(?::(?!:)(?P<type>[^=;{{}}()\n]*(?:\([^)]*\)\s*=>\s*[^=;{{}}()\n]*)?)=(?!=)|=(?![=>])|:(?!:))\s*(?P<async>async\b\s*)?(?P<kind>function\b\s*\*?\s*(?:{NAME}\s*)?(?=[(<])|(?=[(<])|(?P<one>{NAME})\s*(?==>))")
+JS_METHOD = re.compile(rf"(?:^|(?<=[{{}};,]))(?P<head>[ \t]*(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract|accessor)\s+)*\*?[ \t]*)(?P<name>#?{NAME})\s*\??(?=[(<])", re.M)
+JS_GIVEN = re.compile(rf"(?<![\w$])(?P<head>(?:export\s+)?(?:default\s+)?(?:(?:const|let|var|public|private|protected|static|readonly)\s+)*(?:{NAME}\s*\.\s*)*)(?P<name>#?{NAME})\s*(?::(?!:)(?P<type>[^=;{{}}()\n]*(?:\([^)]*\)\s*=>\s*[^=;{{}}()\n]*)?)=(?!=)|=(?![=>])|:(?!:))\s*(?P<async>async\b\s*)?(?P<kind>function\b\s*\*?\s*(?:{NAME}\s*)?(?=[(<])|(?=[(<])|(?P<one>{NAME})\s*(?==>))")
 JAVA_METHOD = re.compile(
-    rf"(?P<head>(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^;{{}}()=]*?>\s*)?(?:@\w+\s+)*(?:(?P<type>{NAME}(?:\s*\.\s*{NAME})*(?:\s*<[^;{{}}()=]*>)?(?:\s*\[\s*\])*)\s+)?)(?<![\w$.])(?P<name>{NAME})\s*(?=\()"
+    rf"(?<![\w$])(?P<head>(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^;{{}}()=]*?>\s*)?(?:@\w+\s+)*(?:(?P<type>{NAME}(?:\s*\.\s*{NAME})*(?:\s*<[^;{{}}()=]*>)?(?:\s*\[\s*\])*)\s+)?)(?<![\w$.])(?P<name>{NAME})\s*(?=\()"
 )
-JAVA_GIVEN = re.compile(rf"(?P<head>(?:(?:public|protected|private|static|final)\s+)*(?P<type>{NAME}(?:\.{NAME})*(?:\s*<[^;{{}}()=]*>)?)\s+)(?P<name>{NAME})\s*=\s*(?P<kind>(?=\()|(?P<one>{NAME})\s*(?=->))")
+JAVA_GIVEN = re.compile(rf"(?<![\w$])(?P<head>(?:(?:public|protected|private|static|final)\s+)*(?P<type>{NAME}(?:\.{NAME})*(?:\s*<[^;{{}}()=]*>)?)\s+)(?P<name>{NAME})\s*=\s*(?P<kind>(?=\()|(?P<one>{NAME})\s*(?=->))")
 GO_FUNCTION = re.compile(r"(?P<head>\bfunc\s*(?:\([^()]*\)\s*)?)(?P<name>[^\W\d]\w*)\s*(?=[(\[])")
-GO_GIVEN = re.compile(r"(?P<head>(?:\bvar\s+)?)(?P<name>[^\W\d]\w*)\s*(?:[\w.\[\]* ]*=|:=)\s*func\s*(?=\()")
-RUST_FUNCTION = re.compile(r"(?P<head>(?:\bpub(?:\s*\([^()]*\))?\s+)?(?:\b(?:default|const|async|unsafe|safe)\s+)*(?:\bextern\s*(?:\s|\w)*?)?\bfn\s+)(?P<name>(?:r#)?[^\W\d]\w*)\s*(?=[(<])")
+GO_GIVEN = re.compile(r"(?<!\w)(?P<head>(?:\bvar\s+)?)(?P<name>[^\W\d]\w*)\s*(?:[\w.\[\]* ]*=|:=)\s*func\s*(?=\()")
+RUST_FUNCTION = re.compile(r"\b(?=[acdefpsu])(?P<head>(?:\bpub(?:\s*\([^()]*\))?\s+)?(?:\b(?:default|const|async|unsafe|safe)\s+)*(?:\bextern\s*(?:\s|\w)*?)?\bfn\s+)(?P<name>(?:r#)?[^\W\d]\w*)\s*(?=[(<])")
 RUST_GIVEN = re.compile(r"(?P<head>\blet\s+(?:mut\s+)?)(?P<name>[^\W\d]\w*)\s*(?::[^=;]*)?=\s*(?:async\s+)?(?:move\s+)?(?=\|)")
 
 
