@@ -1,7 +1,7 @@
 """Credentials in source code and configuration: found line by line and redacted in place.
 
 A literal is segmented by Viterbi into words of a dictionary and unexplained characters. The dictionary is what the
-corpus itself says: the words of all texts by the number of texts they occur in, the ``DICTIONARY`` most frequent. Long
+corpus itself says: the words of all texts by the number of distinct texts they occur in, the ``DICTIONARY`` most frequent. Long
 unexplained residuals become secrets, the sooner the nearer they are to a context that names a credential: under such
 a name a short residual or digits among words suffice, without one a long residual of mixed characters is needed.
 Known formats of digests, identifiers, public keys and embedded data are excluded, as are placeholders and references
@@ -330,8 +330,8 @@ def _words(seen: Counter[str]) -> pa.RecordBatch:
 
 
 def dictionary(df: DataFrame, text: str) -> dict[str, int]:
-    """The ``DICTIONARY`` words in most texts, over all texts; a bounded model, ties by the alphabet."""
-    words = df.select(F.col(text).alias("t")).where("t is not null").mapInArrow(_count, "word string, n long")
+    """The ``DICTIONARY`` words in most distinct texts, so that copies of a secret are no words; a bounded model, ties by the alphabet."""
+    words = df.select(F.col(text).alias("t")).where("t is not null").distinct().mapInArrow(_count, "word string, n long")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").limit(DICTIONARY + 1)
     found = {r["word"]: r["n"] for r in top.collect()}
     texts = found.pop("", 0)

@@ -65,3 +65,10 @@ def test_find_secrets(spark):
     assert sorted(r["id"] for r in out) == sorted([*range(len(FOUND)), 0, 2002])
     assert all(f["line_number"] == 2 for r in out for f in r["found"]) and not any(KEY in r["redacted"] for r in out)
     assert S.find_secrets(df.limit(0), "id", "text").count() == 0
+
+
+def test_copies_of_a_secret_are_no_words(spark):
+    prose, value = " ".join(WORDS), "PEInrt" + "!" + "pfhdE"
+    rows = [(i, f"{prose} {i}") for i in range(200)] + [(1000 + i, f"{prose}\npassword: {value}") for i in range(100)]
+    out = S.find_secrets(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert sorted(r["id"] for r in out) == list(range(1000, 1100)) and not any(value in r["redacted"] for r in out)
