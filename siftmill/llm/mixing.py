@@ -7,6 +7,8 @@
    counts; what remains, smaller than the sum of the lengths, is fitted by a bounded knapsack over the lengths and
    counts left, so a source reaches its budget to the token wherever its lengths allow that at all.
 4. Of each length, the chosen number of documents is taken in the order of a seeded hash.
+5. Longer documents than ``LONGEST`` come before the lengths: in the order of the hash up to their share of the rest, or
+   up to what short ones can't fill; where a gap is left that short ones can't fill, the largest that fit go there.
 
 Only counts by length meet in one task (at most ``LONGEST`` rows of a source), never documents. Ranks within a length
 are taken within hash buckets of some thousand rows, so a length that a third of all documents have isn't one task.
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Longer documents are chosen by their hash alone, their exact sum is taken off the budget before lengths are fitted.
+#: Longer documents are chosen one by one, their exact sum is taken off the budget before lengths are fitted.
 LONGEST = 65_536
 #: Tokens left for the knapsack.
 KNAPSACK = 16_384
 #: Rows of one length that are ranked together, on average.
 RANKED = 10_000
+#: Long documents of a source that are tried at once for what is left.
+TRIED = 1_000
 #: Sources that a table of weights may list.
 MOST_SOURCES = 100_000
 
@@ -145,6 +149,51 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def long_documents(docs: DataFrame, plan: Sequence[Budget], sums: dict[str, tuple[int, int]]) -> tuple[DataFrame | None, dict[str, int]]:
+    """(source, key, size) of the long documents that the rests of the budgets take, and their tokens by source.
+
+    sums: tokens of all and of long documents by source. Running sums are taken within hash buckets of some thousand rows.
+    """
+    spark = docs.sparkSession
+    rest = {b.source: b.rest for b in plan if b.rest > 0 and sums[b.source][1] > 0}
+    if not rest:
+        return None, {}
+    short = {s: sums[s][0] - sums[s][1] for s in rest}
+
+    def fitting(most: dict[str, int]) -> DataFrame:
+        limits = F.broadcast(spark.createDataFrame(list(most.items()), "source string, most long"))
+        return docs.where(F.col("size") > LONGEST).join(limits, "source").where("size <= most")
+
+    first = fitting({s: max(r * sums[s][1] // sums[s][0], r - short[s]) for s, r in rest.items()})
+    n = F.broadcast(first.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    first = first.join(n, "source").withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("n") / RANKED)))
+    lower = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = first.groupBy("source", "bucket").agg(F.sum("size").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(lower), F.lit(0))).drop("m")
+    upto = Window.partitionBy("source", "bucket").orderBy("u", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.sum("size").over(upto) + F.col("before")
+    taken = stored(first.join(before, ["source", "bucket"]).withColumn("running", running).where("running <= most").select("source", "key", "size"), "mix-long")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        gap, enough, take = int(pdf["most"].iat[0]), short[pdf["source"].iat[0]], []
+        pdf = pdf.sort_values("place", ignore_index=True)
+        for size in pdf["size"]:
+            take.append(enough < gap and size <= gap)
+            gap -= int(size) if take[-1] else 0
+        return pdf.loc[take, ["source", "key", "size"]]
+
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "u", "key"))
+    while True:
+        used = {r["source"]: int(r["t"]) for r in taken.groupBy("source").agg(F.sum("size").alias("t")).collect()}
+        lacking = {s: r - used.get(s, 0) for s, r in rest.items() if r - used.get(s, 0) > max(LONGEST, short[s])}
+        if not lacking:
+            return taken, used
+        tried = fitting(lacking).join(taken.select("key"), "key", "left_anti").withColumn("place", place).where(F.col("place") <= TRIED)
+        more = stored(tried.groupBy("source").applyInPandas(fill, taken.schema), "mix-long")
+        if more.isEmpty():
+            return taken, used
+        taken = taken.unionByName(more)
+
+
 def mix(
     sized: DataFrame,
     weights: DataFrame,
@@ -182,13 +231,9 @@ def mix(
     sources = [(r["source"], max(0.0, r["weight"] or 0.0), max(0, r["repeats"] or 0), sums.get(r["source"], (0, 0))[0]) for r in wanted]
     plan = budgets(sources, common_total(sources, met) if total is None else total)
 
-    share = {b.source: b.rest / b.available if b.available else 0.0 for b in plan}
-    rows = [(b.source, b.weight, b.max_repeats, b.available, b.tokens, b.passes, b.rest, share[b.source]) for b in plan]
-    budget = F.broadcast(spark.createDataFrame(rows, "source string, weight double, repeats int, available long, budget long, passes int, rest long, share double"))
-    long_ = docs.where(F.col("size") > LONGEST).join(budget, "source").where(F.col("u") < F.col("share"))
-    long_sums = {r["source"]: int(r["t"]) for r in long_.groupBy("source").agg(F.sum("size").alias("t")).collect()} if any(l for _, l in sums.values()) else {}
-    # long documents that would go beyond the rest are left to the next pass, lengths fill the rest alone
-    long_used = {s: t for s, t in long_sums.items() if t <= next(b.rest for b in plan if b.source == s)}
+    rows = [(b.source, b.weight, b.max_repeats, b.available, b.tokens, b.passes, b.rest) for b in plan]
+    budget = F.broadcast(spark.createDataFrame(rows, "source string, weight double, repeats int, available long, budget long, passes int, rest long"))
+    long_, long_used = long_documents(docs, plan, sums)
     rest = {b.source: b.rest - long_used.get(b.source, 0) for b in plan}
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,8 +248,8 @@ def mix(
     cut = cut.join(before, ["source", "size", "bucket"], "left")
     place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("u", "key")) + F.coalesce("before", F.lit(0))
     chosen = cut.withColumn("place", place).where(F.col("place") <= F.col("take")).select("key", F.lit(1).alias("extra"))
-    if long_used:
-        chosen = chosen.unionByName(long_.where(F.col("source").isin(list(long_used))).select("key", F.lit(1).alias("extra")))
+    if long_ is not None:
+        chosen = chosen.unionByName(long_.select("key", F.lit(1).alias("extra")))
     mixed = stored(
         docs.join(budget, "source").join(chosen, "key", "left").withColumn("copies", (F.col("passes") + F.coalesce("extra", F.lit(0))).cast("int")).where("copies > 0").select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "copies"),
         "mix",

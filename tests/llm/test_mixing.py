@@ -68,3 +68,21 @@ def test_empty_and_doubled(spark):
     assert mixed.count() == 0 and {r["source"] for r in report.collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         M.mix(sized, weights.union(weights))
+
+
+@pytest.mark.parametrize("short", [0, 20])
+def test_long_documents_fill_the_rest(spark, monkeypatch, short):
+    monkeypatch.setattr(M, "LONGEST", 500)
+    monkeypatch.setattr(M, "RANKED", 7)
+    monkeypatch.setattr(M, "TRIED", 3, raising=False)
+    rnd = random.Random(short)
+    rows = [(i, "a", 600 + rnd.randrange(400)) for i in range(40)] + [(100 + i, "a", rnd.randrange(1, 30)) for i in range(short)] + [(200, "a", 9_000)]
+    sized, total = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), sum(r[2] for r in rows)
+    weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    for seed in range(3):
+        mixed, report = M.mix(sized, weights, total=total // 2, seed=seed)
+        used, size = {r["doc_id"] for r in mixed.collect()}, {i: n for i, _, n in rows}
+        left = total // 2 - sum(size[i] for i in used)
+        assert left == total // 2 - report.collect()[0]["actual_tokens"]
+        # nothing that was left out fits any more
+        assert 0 <= left < 1_000 and all(size[i] > left for i in size if i not in used)
