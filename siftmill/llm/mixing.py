@@ -203,13 +203,14 @@ def mix(
     weight: str = "target_weight",
     max_repeats: str = "max_repeats",
     total: int | None = None,
-    met: float = 0.75,
+    met: float = 1.0,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, size, copies) and its report by source.
 
     ``sized`` has one row for each text that may be used; ``total`` defaults to the most
-    tokens at which sources with ``met`` of the weight keep their proportions exactly (1: all sources that have tokens do).
+    tokens at which sources with ``met`` of the weight keep their proportions exactly (1: all sources that have tokens do;
+    less gives a larger mixture in which the smallest sources miss their shares).
     Defined cases: rows of sources that aren't listed, of null source, or of null or zero size take no part; a listed
     source without rows or with a null weight is reported with nothing; a source listed twice raises an error; equal
     hashes are ordered by key; an empty table gives an empty mixture; other columns don't matter.

@@ -86,3 +86,11 @@ def test_long_documents_fill_the_rest(spark, monkeypatch, short):
         assert left == total // 2 - report.collect()[0]["actual_tokens"]
         # nothing that was left out fits any more
         assert 0 <= left < 1_000 and all(size[i] > left for i in size if i not in used)
+
+
+def test_default_size_keeps_every_share(spark):
+    rows = [(i, "a", 1) for i in range(900)] + [(1000 + i, "b", 1) for i in range(10)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    weights = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1), ("c", 0.5, 1)], "source string, target_weight double, max_repeats int")
+    report = {r["source"]: (r["actual_tokens"], r["actual_share"]) for r in M.mix(sized, weights)[1].collect()}
+    assert report == {"a": (40, 0.8), "b": (10, 0.2), "c": (0, 0.0)}
