@@ -160,12 +160,12 @@ def hashed_shingles(words: int):
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(words)])))
 
 
-def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words: int = 5, min_words: int = 5, bands: int = 50, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words: int = 5, min_words: int = 5, bands: int = 80, rows: int = 4) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the pairs of classes with Jaccard similarity of at least ``threshold``.
 
     Returns ``members`` (id, class_id: the smallest id with the same shingle set) and ``links`` (class_a < class_b,
     similarity). ``id`` must be a whole number. A pair at similarity s meets with probability 1 - (1 - s^rows)^bands: with
-    50 bands of 4 rows 0.9990 at 0.6, 0.9999 at 0.65 and more above it; every meeting pair is compared on all shingles. More
+    80 bands of 4 rows 0.99998 at 0.6 and more above it; every meeting pair is compared on all shingles. More
     rows let fewer dissimilar texts of common phrases meet, which matters as their pairs grow with the square of the texts.
 
     Defined cases: null texts and texts of fewer than ``min_words`` words (or than one shingle) take no part; rows with

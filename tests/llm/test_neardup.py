@@ -72,3 +72,12 @@ def test_edge_cases(spark):
     assert [(r["class_a"], r["class_b"]) for r in links.collect()] == [(4, 5)]
     members, links = N.near_duplicates(df.limit(0), "id", "text", 0.8)
     assert members.count() == links.count() == 0
+
+
+def test_links_at_the_threshold(spark):
+    rows = []
+    for i in range(6_000):  # 15 of 25 words are shared
+        both = [f"b{i}_{j}" for j in range(15)]
+        rows += [(2 * i, " ".join(both + [f"x{i}_{j}" for j in range(5)])), (2 * i + 1, " ".join(both + [f"y{i}_{j}" for j in range(5)]))]
+    links = N.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.6, words=1)[1]
+    assert {(r["class_a"], r["class_b"]) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(6_000)}
