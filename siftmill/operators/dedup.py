@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from ..session import spread, stored
 
 C = F.col
 
+#: Undecided nodes and links that one task decides at once.
+AT_ONCE = 1_000_000
+
 
 # Strategies: what a file of a cluster is ordered by, greatest first; ties go to the smallest id.
 def newest() -> list[Column]:
@@ -107,18 +112,32 @@ def overlap_links(docs: DataFrame, block: str, id: str, keywords: str, threshold
     return member, stored(links, "overlap-links")
 
 
-def first_stars(links: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
+def first_stars(links: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame:
     """(node, seed): every linked node goes to the first seed that it is linked to, in the order of the ids.
 
     A node is a seed unless an earlier seed is linked to it, as if nodes were taken one by one. Decided in rounds: a node
     without undecided earlier neighbours is a seed, later neighbours of seeds are taken. Every round decides at least the
-    smallest node of each component; what is decided is written to the shared folder, so lineage doesn't grow.
+    smallest node of each component; what is decided is written to the shared folder, so lineage doesn't grow. After ``rounds``
+    a long chain's rest is decided node by node in one task as soon as it has at most ``AT_ONCE`` nodes and links.
     """
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        later: dict[int, list[int]] = {}
+        for u, v in zip(pdf["u"], pdf["v"]):
+            later.setdefault(u, []).append(v)
+        gone: set[int] = set()
+        first = []
+        for n in sorted(set(pdf["u"]) | set(pdf["v"])):
+            if n not in gone:
+                first.append(n)
+                gone.update(later.get(n, ()))
+        return pd.DataFrame({"n": first}, dtype=pdf["u"].dtype)
+
     edges = stored(links.select(C(a).alias("u"), C(b).alias("v")).distinct(), "stars-edges")  # u < v
     open_ = edges
     nodes = edges.select(C("u").alias("n")).union(edges.select(C("v").alias("n"))).distinct()
     seeds: DataFrame | None = None
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         later = open_.select(C("v").alias("n")).distinct()
         fresh = stored(nodes.join(later, "n", "left_anti"), "stars-seeds")
         seeds = fresh if seeds is None else seeds.unionByName(fresh)
@@ -128,8 +147,11 @@ def first_stars(links: DataFrame, a: str, b: str, rounds: int = 200) -> DataFram
             break
         left = nodes.select(C("n").alias("u")), nodes.select(C("n").alias("v"))
         open_ = stored(open_.join(left[0], "u", "left_semi").join(left[1], "v", "left_semi"), "stars-open")
-    else:
-        raise RuntimeError(f"not decided after {rounds} rounds")
+        if turn >= rounds:
+            rest = open_.unionByName(nodes.select(C("n").alias("u"), C("n").alias("v")))
+            if rest.limit(AT_ONCE + 1).count() <= AT_ONCE:
+                seeds = seeds.unionByName(stored(rest.groupBy().applyInPandas(in_order, nodes.schema), "stars-seeds"))
+                break
     to = edges.join(seeds.withColumnRenamed("n", "u"), "u", "left_semi").groupBy("v").agg(F.min("u").alias("seed"))
     taken = to.join(seeds.withColumnRenamed("n", "v"), "v", "left_anti").select(C("v").alias("node"), "seed")
     return taken.unionByName(seeds.select(C("n").alias("node"), C("n").alias("seed")))

@@ -82,3 +82,9 @@ def test_all_kinds_are_disjoint(spark):
     df = df.withColumn("quality", F.lit(None).cast("double")).withColumn("primary_domain", F.lit(None).cast("string"))
     got = D.all_duplicates(df, classes(spark, *[(i, "P", "t", 1.0) for i in range(1, 7)]), "keep_newest").collect()
     assert sorted((r["kind"], r["file_count"], r["keeper_id"]) for r in got) == [("exact", 2, 1), ("near", 2, 3), ("semantic", 2, 5)]
+
+
+def test_long_chains_are_decided(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(700)], "a long, b long")
+    got = {r["node"]: r["seed"] for r in D.first_stars(links, "a", "b", rounds=2).collect()}
+    assert got == {i: i - i % 2 for i in range(701)}
