@@ -43,7 +43,11 @@ REFERENCE = re.compile(r"(?i)^[\w.]*(getenv|environ|env\.|process\.env|getpass|v
 PATH = re.compile(r"(?i)^(/|\./|\.\./|~/|[a-z]:\\)")
 TOKEN_FORMATS = re.compile(r"(?<![A-Za-z0-9])(?:(?:sk|rk|pk)[-_](?:ant-|live_|test_|proj-)?[A-Za-z0-9_\-]{16,}|xai-[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])|AIza[A-Za-z0-9_\-]{20,}|r[0-9]_[A-Za-z0-9]{20,}|xox[abeoprs]-[A-Za-z0-9\-]{10,}|glpat-[A-Za-z0-9_\-]{16,}|hf_[A-Za-z0-9]{20,}|npm_[A-Za-z0-9]{20,}|SG\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})")
 
-TRIGGER = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|basic |login|-----begin|://[^\s/]*:[^\s]*@|connect|[a-z0-9+/_\-]{20,}|curl |wget |mysql|psql|mongo|redis|:\d{2,5}:")
+#: What a lower-case line has if any rule below may find something in it: names, commands, first letters of formats, the shortest bare run.
+TRIGGER = re.compile(
+    r"pass|pwd|secret|token|key|auth|cred|bearer|basic\s|log[io]n|sign_?in|(?:sig|signature|cookie|pin)(?![a-z0-9])|-----begin|://[^\s/]*:[^\s]*@|connect|[a-z0-9+/_\-]{19,}|curl|wget|\s-u|\s--user|mysql|psql|mongo|redis|:(?:\d{2,5}|\*):"
+    r"|xox[abeoprs]-|(?:akia|asia)[a-z0-9]{12}|sg\.[a-z0-9_\-]{10}|eyj[a-z0-9_\-]{8}"
+)
 QUOTED = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.)*'''|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"
 ASSIGNED = re.compile(
     r"(?P<key>[A-Za-z_][\w.\-]*)(?:[\"'`]?\]?)\s*(?::\s*[A-Za-z_][\w.<>\[\], ]*?\s*=(?!=)|:=|=>|(?<![=!<>])=(?![=~])|:(?!:|//))\s*(?:[\w.\[\]'\"()]+?\s*(?:\|\||\?\?|\bor\b)\s*)?(?:[rbfuRBFU]{1,2}(?=[\"']))?"

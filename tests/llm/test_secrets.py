@@ -72,3 +72,14 @@ def test_copies_of_a_secret_are_no_words(spark):
     rows = [(i, f"{prose} {i}") for i in range(200)] + [(1000 + i, f"{prose}\npassword: {value}") for i in range(100)]
     out = S.find_secrets(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
     assert sorted(r["id"] for r in out) == list(range(1000, 1100)) and not any(value in r["redacted"] for r in out)
+
+
+PIECES = "Q7" + "zR4mXw9Tk2Vb8L"
+UNSEEN = [
+    f'sig = "{PIECES}"', f'cookie: "{PIECES}"', f'userPin = "{PIECES}"', "# xox" + "b-Q7zR4mXw9T", "# AK" + "IAQ7RZ4M2XN9VB", "http -u river:stone5402Tower h.invalid", "h.invalid:*:river:river_svc:dark2020Stone", "x.logon('river', 'stone2592Tower')", "# ey" + "Jq7Zr4Mxw9.eyJk2Vb8Lq1x.Tn5Rc3Yd5G",
+]
+
+
+@pytest.mark.parametrize("line", UNSEEN)
+def test_lines_without_another_trigger(line):
+    assert [f.line for f in S.scan(f"first\n{line}\nlast", LEX)] == [2]
