@@ -407,7 +407,7 @@ def arrow_body(code: str, at: int) -> int:
     at = spaces(code, at)
     if code[at : at + 1] == ":":  # return type
         depth = 0
-        for i in range(at, min(len(code), at + 2000)):
+        for i in range(at, len(code)):
             c = code[i]
             if code.startswith("=>", i) and depth <= 0:
                 return spaces(code, i + 2)
@@ -415,6 +415,8 @@ def arrow_body(code: str, at: int) -> int:
                 depth += 1
             elif c in ")]}" or c == ">" and code[i - 1] not in "=-":
                 depth -= 1
+                if depth < 0 and c != ">":  # what holds it ends
+                    return -1
             elif c == ";" and depth <= 0:
                 return -1
         return -1

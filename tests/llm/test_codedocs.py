@@ -210,3 +210,12 @@ def test_documented(spark):
     assert sorted((r["file_id"], r["name"], r["line_number"]) for r in out) == [(1, "f", 1), (1, "f", 1), (5, "f", 50_001)]
     assert {(tuple(r["args"]), r["docstring"]) for r in out} == {(("a",), DOC)}
     assert D.documented(df.limit(0)).count() == 0
+
+
+def test_long_return_type():
+    from siftmill.llm import codedocs as C
+
+    code = "(a: string): { " + " ".join(f"field{i}: number;" for i in range(200)) + " } => { return x }"
+    at = code.index(")") + 1
+    assert code[C.arrow_body(code, at) :] == "{ return x }"
+    assert C.arrow_body("(a) : b) => c", 3) == -1
