@@ -1,4 +1,5 @@
 import ast
+import time
 
 import pytest
 
@@ -217,5 +218,45 @@ def test_long_return_type():
 
     code = "(a: string): { " + " ".join(f"field{i}: number;" for i in range(200)) + " } => { return x }"
     at = code.index(")") + 1
-    assert code[C.arrow_body(code, at) :] == "{ return x }"
-    assert C.arrow_body("(a) : b) => c", 3) == -1
+    assert code[C.arrow_body(C.Code(code), at) :] == "{ return x }"
+    assert C.arrow_body(C.Code("(a) : b) => c"), 3) == -1
+
+
+def test_code_in_templates():
+    text = f"""const a = `x {{ /** no */ function no() {{}} ${{ list.map(function () {{ return `${{ {{ b: 1 }}.b }}` }}) }} `;
+const b = `${{(x) => x}}`;
+const c = `
+${{
+  /** {DOC} */
+  function one(a) {{ return a }}
+}}
+`;
+/** {DOC} */
+function two() {{ return `\\`${{`}}`}}` }}
+/** {DOC} */
+const three = (a) => `${{a}}`;
+"""
+    assert documented(text, "javascript") == [("one", 6), ("two", 10), ("three", 12)]
+
+
+LONG = [
+    ("javascript", "function f(a) {\n x = 1;\n" * 60_000), ("javascript", "`${ " * 20_000), ("javascript", "x = {" + ",".join(f"a{i}:{i}" for i in range(120_000)) + "}"), ("typescript", "f(a: b): c\n" * 100_000), ("javascript", "a." * 500_000 + "b = 1"), ("javascript", "@a(" * 300_000),
+    ("python", "def f(\n" * 150_000), ("python", "def f() " + "[a]" * 40_000 + "\n    pass\n"), ("python", "def f(a):\n    '''x\n" * 60_000), ("java", "void f(int a) { if (x) {\n" * 50_000), ("java", "f(f<" * 200_000), ("go", "func f(a int)\n" * 100_000), ("go", "x := func(a int) {\n" * 60_000),
+    ("rust", "fn f(a: u8) -> B {\n" * 60_000), ("rust", "/* " * 300_000), ("javascript", "/** a */\n" * 100_000 + "function f() {}"),
+]
+
+
+@pytest.mark.parametrize("at", range(len(LONG)))
+def test_time_grows_with_the_length(at):
+    language, text = LONG[at]
+    began = time.perf_counter()
+    found = D.functions(text, language)
+    assert sum(len(f.signature) for f in found) <= 40 * len(text)
+    assert time.perf_counter() - began < 10
+
+
+def test_declarations_without_bodies():
+    assert documented(f"/** {DOC} */\nf(1)\nif (x) {{ }}\n/** {DOC} */\nfunction g(a: b): c\n/** {DOC} */\nfunction g(a: d): e {{ }}\n", "typescript") == [("g", 7)]
+    assert documented(f"// F {DOC}\nfunc F(a int) error\n\n// G {DOC}\nfunc G(a int) interface{{ X() }} {{ }}\n", "go") == [("G", 5)]
+    java = f"enum E {{ /** {DOC} */ A(1) {{ }}, B(2); /** {DOC} */ E(int x) {{ }}\n/** {DOC} */\n@X(a = 1)\npublic @Y <T extends Z<T>> java.util.List<T[]> f(T a) throws Q {{ return new java.util.List<T>() {{ }}; }} }}"
+    assert [n for n, _ in documented(java, "java")] == ["E", "f"]
