@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from siftmill.llm import secrets as S
@@ -52,6 +54,38 @@ def test_redaction_leaves_the_rest():
     assert S.redacted(text, S.scan(text, LEX)) == 'a = 1\r\npassword = "[REDACTED]"  # note\r\nb = 2'
 
 
+SILENT = ['secret_level = "level_2"', 'token_table = "table_v2"', 'next_token = "page2table"', 'csrf_token_header = "X-CSRF-Token2"', "secret_room: blue-room-12", "token: river7", '"password": "Enter your password here again"', "-----BEGIN RSA PRIVATE KEY-----\n...\n-----END RSA PRIVATE KEY-----", 'header = "-----BEGIN PRIVATE KEY-----"\nx = 1']
+PEOPLE_MAKE = ['password = "correct horse battery staple 7"', 'password = "ab1!"', 'password = "48151623"', 'password = "dragonfly"', "db_password_prod: Bx7x5V!KZSih", 'PASSWD="hunter2"']
+
+
+@pytest.mark.parametrize("text", SILENT)
+def test_what_the_dictionary_explains_is_silent(text):
+    words = WORDS | {w: 50 for w in "level page table csrf room blue enter your here again".split()}
+    assert S.scan(f"first\n{text}\nlast", S.Lexicon(words)) == []
+
+
+@pytest.mark.parametrize("line", PEOPLE_MAKE)
+def test_passwords_that_people_make(line):
+    found = S.scan(f"first\n{line}\nlast", LEX)
+    assert [f.line for f in found] == [2]
+    assert line.split('"')[1 if '"' in line else 0].split(": ")[-1] not in S.redacted(line, S.scan(line, LEX))
+
+
+def test_a_cut_off_key_is_found():
+    assert [f.line for f in S.scan("x\n-----BEGIN PRIVATE KEY-----", LEX)] == [2]
+    assert [f.line for f in S.scan(f'k = "-----BEGIN PRIVATE KEY-----\\n{KEY}{KEY}\\n-----END PRIVATE KEY-----"', LEX)] == [1]
+
+
+LONG = [f"{KEY} ", f"{KEY}", f'"a": "{KEY[:18]}", ', "https://h.invalid:80/x ", "http ", "a: b, ", f"sha256-{KEY} ", "mysql -x ", "a.b-c_", "x=", "key ", f"k={KEY}/", "a@b://c:d", "secret: "]
+
+
+@pytest.mark.parametrize("piece", LONG)
+def test_long_lines(piece):
+    began = time.perf_counter()
+    S.scan(piece * (400_000 // len(piece)) + "\n" + FOUND[0], LEX)
+    assert time.perf_counter() - began < 5
+
+
 def test_residual():
     assert LEX.residual("riverstonegarden") == 0 and LEX.residual("river-stone-19") == 2
     assert LEX.residual(KEY) > 15
