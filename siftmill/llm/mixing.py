@@ -4,14 +4,14 @@
 2. Budgets: a source gets its weight times a common level, at most its tokens times its repeats; the level is raised
    until the budgets add up to the total (sources at their cap stay there, the others keep their proportions).
 3. A budget is some full passes over the source and a rest. The rest is spread over the lengths in proportion to their
-   counts; what remains, smaller than the sum of the lengths, is fitted by a bounded knapsack over the lengths and
-   counts left, so a source reaches its budget to the token wherever its lengths allow that at all.
+   counts; what remains is fitted by a bounded knapsack over the lengths and counts left, and where that leaves a gap, by
+   another one that may give back some of the documents taken. So a source reaches its budget to the token wherever its
+   lengths allow that at all, whether they are short or long.
 4. Of each length, the chosen number of documents is taken in the order of a seeded hash.
-5. Longer documents than ``LONGEST`` come before the lengths: in the order of the hash up to their share of the rest, or
-   up to what short ones can't fill; where a gap is left that short ones can't fill, the largest that fit go there.
 
-Only counts by length meet in one task (at most ``LONGEST`` rows of a source), never documents. Ranks within a length
-are taken within hash buckets of some thousand rows, so a length that a third of all documents have isn't one task.
+Only counts by length meet in one task, never documents: a source of T tokens has at most sqrt(2 T) different lengths
+(their sum alone is T then), some millions for any corpus there is. Ranks within a length are taken within hash buckets
+of some thousand rows, so a length that a third of all documents have isn't one task.
 """
 
 from __future__ import annotations
@@ -27,14 +27,12 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Longer documents are chosen one by one, their exact sum is taken off the budget before lengths are fitted.
-LONGEST = 65_536
-#: Tokens left for the knapsack.
+#: Tokens left for the knapsack where longer documents allow that.
 KNAPSACK = 16_384
+#: Sums that a knapsack tells apart; larger budgets are fitted in units of several tokens, rounded up.
+SUMS = 1 << 20
 #: Rows of one length that are ranked together, on average.
 RANKED = 10_000
-#: Long documents of a source that are tried at once for what is left.
-TRIED = 1_000
 #: Sources that a table of weights may list.
 MOST_SOURCES = 100_000
 
@@ -100,34 +98,43 @@ def common_total(sources: Sequence[tuple[str, float, int, int]], met: float) ->
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take for the greatest sum not above ``budget``: bounded knapsack, counts split by powers of two."""
+    """How many of each length to take for the greatest sum not above ``budget``: bounded knapsack, counts split by powers of two.
+
+    Of every sum only the step that first reached it is kept, so memory is that of the sums, whatever the number of lengths.
+    """
     taken = [0] * len(lengths)
     if budget <= 0:
         return taken
-    mask, reach = (1 << (budget + 1)) - 1, 1
-    steps: list[tuple[int, int, int]] = []  # reachable sums before the step, position, how many
-    for i, (length, count) in enumerate(zip(lengths, counts)):
-        power = 1
-        while count > 0 and 0 < length <= budget:
+    unit = math.gcd(*lengths) if lengths else 1
+    if budget // unit > SUMS:
+        unit = -(-budget // SUMS)
+    room, sizes = budget // unit, [-(-length // unit) for length in lengths]
+    reached = np.zeros(room + 1, bool)
+    reached[0] = True
+    first = np.full(room + 1, -1, np.int32)
+    steps: list[tuple[int, int]] = []  # position, how many
+    top = 0  # the greatest sum reached
+    for i, (size, count) in enumerate(zip(sizes, counts)):
+        power, count = 1, min(count, room // size if size else 0)
+        while count > 0:
             many = min(power, count)
-            if many * length > budget:
-                many = budget // length
-                if many == 0:
-                    break
-                count = many
-            after = (reach | reach << (many * length)) & mask
-            if after != reach:
-                steps.append((reach, i, many))
-                reach = after
+            move = many * size
+            end = min(room, top + move) + 1
+            fresh = reached[: end - move] & ~reached[move:end]
+            if fresh.any():
+                first[move:end][fresh] = len(steps)
+                reached[move:end] |= fresh
+                steps.append((i, many))
+                top = max(top, move + int(np.flatnonzero(fresh)[-1]))
             count -= many
             power *= 2
-        if reach >> budget & 1:
+        if reached[room]:
             break
-    at = reach.bit_length() - 1
-    for before, i, many in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += many
-            at -= many * lengths[i]
+    at = int(np.flatnonzero(reached)[-1])
+    while at:
+        i, many = steps[first[at]]
+        taken[i] += many
+        at -= many * sizes[i]
     return taken
 
 
@@ -137,61 +144,49 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         return counts.copy()
     order = np.argsort(-lengths, kind="stable")
-    take = (counts * (budget / total)).astype(np.int64)
+    take = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
     left = budget - int((lengths * take).sum())
-    for i in order:
-        if left - lengths[i] >= KNAPSACK and take[i] < counts[i]:
-            take[i] += 1
-            left -= int(lengths[i])
-    fitting = [int(i) for i in order if lengths[i] <= left and take[i] < counts[i]]
-    for i, many in zip(fitting, knapsack([int(lengths[i]) for i in fitting], [int(counts[i] - take[i]) for i in fitting], left)):
-        take[i] += many
+    for most in (1, None):  # one more of each length, then as many as there are
+        for i in order:
+            many = min(int(counts[i] - take[i]), (left - KNAPSACK) // int(lengths[i]), most or budget)
+            if many > 0:
+                take[i] += many
+                left -= many * int(lengths[i])
+    left -= _fitted(lengths, counts, take, order, left)
+    for most in (2, budget):  # give back some of the longest, then all that there is room for, and fit anew
+        if not left:
+            break
+        given, room = np.zeros_like(take), max(SUMS, 4 * int(lengths.max())) - left
+        for i in order:
+            many = min(int(take[i]), most, room // int(lengths[i]))
+            if many > 0:
+                given[i] = many
+                room -= many * int(lengths[i])
+        again, free = take - given, left + int((lengths * given).sum())
+        if (gap := free - _fitted(lengths, counts, again, order, free)) < left:
+            take, left = again, gap
     return take
 
 
-def long_documents(docs: DataFrame, plan: Sequence[Budget], sums: dict[str, tuple[int, int]]) -> tuple[DataFrame | None, dict[str, int]]:
-    """(source, key, size) of the long documents that the rests of the budgets take, and their tokens by source.
-
-    sums: tokens of all and of long documents by source. Running sums are taken within hash buckets of some thousand rows.
-    """
-    spark = docs.sparkSession
-    rest = {b.source: b.rest for b in plan if b.rest > 0 and sums[b.source][1] > 0}
-    if not rest:
-        return None, {}
-    short = {s: sums[s][0] - sums[s][1] for s in rest}
-
-    def fitting(most: dict[str, int]) -> DataFrame:
-        limits = F.broadcast(spark.createDataFrame(list(most.items()), "source string, most long"))
-        return docs.where(F.col("size") > LONGEST).join(limits, "source").where("size <= most")
-
-    first = fitting({s: max(r * sums[s][1] // sums[s][0], r - short[s]) for s, r in rest.items()})
-    n = F.broadcast(first.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-    first = first.join(n, "source").withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("n") / RANKED)))
-    lower = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = first.groupBy("source", "bucket").agg(F.sum("size").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(lower), F.lit(0))).drop("m")
-    upto = Window.partitionBy("source", "bucket").orderBy("u", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum("size").over(upto) + F.col("before")
-    taken = stored(first.join(before, ["source", "bucket"]).withColumn("running", running).where("running <= most").select("source", "key", "size"), "mix-long")
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap, enough, take = int(pdf["most"].iat[0]), short[pdf["source"].iat[0]], []
-        pdf = pdf.sort_values("place", ignore_index=True)
-        for size in pdf["size"]:
-            take.append(enough < gap and size <= gap)
-            gap -= int(size) if take[-1] else 0
-        return pdf.loc[take, ["source", "key", "size"]]
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "u", "key"))
+def _fitted(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, order: np.ndarray, left: int) -> int:
+    """Fit ``left`` by knapsacks until nothing more is found, add what they take to ``take`` and return its tokens."""
+    added = 0
     while True:
-        used = {r["source"]: int(r["t"]) for r in taken.groupBy("source").agg(F.sum("size").alias("t")).collect()}
-        lacking = {s: r - used.get(s, 0) for s, r in rest.items() if r - used.get(s, 0) > max(LONGEST, short[s])}
-        if not lacking:
-            return taken, used
-        tried = fitting(lacking).join(taken.select("key"), "key", "left_anti").withColumn("place", place).where(F.col("place") <= TRIED)
-        more = stored(tried.groupBy("source").applyInPandas(fill, taken.schema), "mix-long")
-        if more.isEmpty():
-            return taken, used
-        taken = taken.unionByName(more)
+        fitting = [int(i) for i in order if lengths[i] <= left - added and take[i] < counts[i]]
+        more = 0
+        for i, many in zip(fitting, knapsack([int(lengths[i]) for i in fitting], [int(counts[i] - take[i]) for i in fitting], left - added)):
+            take[i] += many
+            more += many * int(lengths[i])
+        if not more:
+            return added
+        added += more
+
+
+def listed_sources(weights: DataFrame, source: str = "source") -> DataFrame:
+    """``weights`` marked for a broadcast; a table of more than ``MOST_SOURCES`` rows raises an error."""
+    if weights.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources are listed")
+    return F.broadcast(weights.where(F.col(source).isNotNull()))
 
 
 def mix(
@@ -208,6 +203,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, size, copies) and its report by source.
 
+    The report gives target and actual shares, the ``reachable_share`` (the target among the sources that have tokens and
+    may be used) and ``deviation``, the actual share less the reachable one.
     ``sized`` has one row for each text that may be used; ``total`` defaults to the most
     tokens at which sources with ``met`` of the weight keep their proportions exactly (1: all sources that have tokens do;
     less gives a larger mixture in which the smallest sources miss their shares).
@@ -216,32 +213,30 @@ def mix(
     hashes are ordered by key; an empty table gives an empty mixture; other columns don't matter.
     """
     spark = sized.sparkSession
-    listed = weights.select(F.col(source).alias("source"), F.col(weight).cast("double").alias("weight"), F.col(max_repeats).cast("int").alias("repeats")).where(F.col("source").isNotNull())
-    wanted = listed.limit(MOST_SOURCES + 1).collect()
-    if len(wanted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources are listed")
+    listed = listed_sources(weights.select(F.col(source).alias("source"), F.col(weight).cast("double").alias("weight"), F.col(max_repeats).cast("int").alias("repeats")))
+    wanted = listed.collect()
     if len({r["source"] for r in wanted}) < len(wanted):
         raise ValueError("a source is listed twice")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("key")), 11) / F.lit(float(1 << 53))
     docs = stored(
-        sized.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")).where("size > 0").join(F.broadcast(listed.select("source")), "source", "left_semi").withColumn("u", unit),
+        sized.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")).where("size > 0").join(listed.select("source"), "source", "left_semi").withColumn("u", unit),
         "mix-sizes",
     )
     counts = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    sums = {r["source"]: (int(r["t"]), int(r["l"] or 0)) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t"), F.sum(F.when(F.col("size") > LONGEST, F.col("size") * F.col("n"))).alias("l")).collect()}
-    sources = [(r["source"], max(0.0, r["weight"] or 0.0), max(0, r["repeats"] or 0), sums.get(r["source"], (0, 0))[0]) for r in wanted]
+    sums = {r["source"]: int(r["t"]) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t")).collect()}
+    sources = [(r["source"], max(0.0, r["weight"] or 0.0), max(0, r["repeats"] or 0), sums.get(r["source"], 0)) for r in wanted]
     plan = budgets(sources, common_total(sources, met) if total is None else total)
 
-    rows = [(b.source, b.weight, b.max_repeats, b.available, b.tokens, b.passes, b.rest) for b in plan]
-    budget = F.broadcast(spark.createDataFrame(rows, "source string, weight double, repeats int, available long, budget long, passes int, rest long"))
-    long_, long_used = long_documents(docs, plan, sums)
-    rest = {b.source: b.rest - long_used.get(b.source, 0) for b in plan}
+    able = sum(b.weight for b in plan if b.max_repeats * b.available > 0)
+    rows = [(b.source, b.weight, b.max_repeats, b.available, b.tokens, b.passes, b.rest, b.weight / able if able and b.max_repeats * b.available > 0 else 0.0) for b in plan]
+    budget = F.broadcast(spark.createDataFrame(rows, "source string, weight double, repeats int, available long, budget long, passes int, rest long, reachable double"))
+    rest = {b.source: b.rest for b in plan}
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ignore_index=True)
         return pdf.assign(take=fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), rest[pdf["source"].iat[0]]))
 
-    takes = counts.where(F.col("size") <= LONGEST).groupBy("source").applyInPandas(take, "source string, size long, n long, take long")
+    takes = counts.groupBy("source").applyInPandas(take, "source string, size long, n long, take long")
     takes = stored(takes.where("take > 0"), "mix-takes")
     cut = docs.join(takes, ["source", "size"]).withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("n") / RANKED)))
     lower = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -249,14 +244,13 @@ def mix(
     cut = cut.join(before, ["source", "size", "bucket"], "left")
     place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("u", "key")) + F.coalesce("before", F.lit(0))
     chosen = cut.withColumn("place", place).where(F.col("place") <= F.col("take")).select("key", F.lit(1).alias("extra"))
-    if long_ is not None:
-        chosen = chosen.unionByName(long_.select("key", F.lit(1).alias("extra")))
     mixed = stored(
         docs.join(budget, "source").join(chosen, "key", "left").withColumn("copies", (F.col("passes") + F.coalesce("extra", F.lit(0))).cast("int")).where("copies > 0").select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "copies"),
         "mix",
     )
     used = mixed.groupBy(F.col(source).alias("source")).agg(F.sum(F.col(size) * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("most_copies"))
     everything = sum(int(r["tokens"]) for r in used.select("tokens").collect())
+    share = F.coalesce("tokens", F.lit(0)) / F.lit(float(max(1, everything)))
     report = (
         budget.hint("broadcast")
         .join(used, "source", "left")
@@ -269,7 +263,9 @@ def mix(
             F.coalesce("tokens", F.lit(0)).alias("actual_tokens"),
             F.coalesce("texts", F.lit(0)).alias("texts"),
             F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-            (F.coalesce("tokens", F.lit(0)) / F.lit(float(max(1, everything)))).alias("actual_share"),
+            share.alias("actual_share"),
+            F.col("reachable").alias("reachable_share"),
+            (share - F.col("reachable")).alias("deviation"),
         )
     )
     return mixed, report

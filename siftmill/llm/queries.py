@@ -11,7 +11,7 @@ from ..session import stored, table
 from .bpe import count_tokens, encode_corpus, tokenizer_file
 from .codedocs import documented
 from .consolidate import Field, consolidate, decayed
-from .mixing import mix
+from .mixing import listed_sources, mix
 from .mojibake import repair
 from .neardup import near_duplicates
 from .secrets import find_secrets
@@ -235,7 +235,7 @@ def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Of equal texts one document stands for all, that with the smallest doc_id among the listed sources, so no text is used beyond its cap."""
     path, pattern = tokenizer_file()
     weights = table(spark, sf_dir, "source_weights")
-    docs = table(spark, sf_dir, "documents").where("text <> ''").join(F.broadcast(weights.select("source")), "source", "left_semi")
+    docs = table(spark, sf_dir, "documents").where("text <> ''").join(listed_sources(weights.select("source")), "source", "left_semi")
     sized = count_tokens(docs.select("doc_id", "source", F.sha2("text", 256).alias("same"), "text"), "text", path, pattern)
     texts = sized.groupBy("same").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("first")).select("first.*")
     return mix(texts, weights)

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -29,6 +30,38 @@ def test_fit_reaches_the_budget():
         assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == int(total * share)
 
 
+def test_fit_against_brute_force():
+    rnd = random.Random(2)
+    for _ in range(60):
+        lengths = np.array(sorted(rnd.sample(range(1, 60), 4)))
+        counts = np.array([rnd.randrange(5) for _ in lengths])
+        budget = rnd.randrange(1, 200)
+        best = max(s for s in (sum(n * w for n, w in zip(take, lengths)) for take in product(*(range(c + 1) for c in counts))) if s <= budget)
+        take = M.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == best
+
+
+@pytest.mark.parametrize("budget,best", [(200_000, 145_000), (100_000, 75_000), (5_000, 5_000), (69_999, 5_000), (140_100, 140_100)])
+def test_long_and_short_documents(budget, best):
+    lengths, counts = np.array([100, 70_000]), np.array([50, 10])
+    assert int((M.fit(lengths, counts, budget) * lengths).sum()) == best
+
+
+def test_many_lengths_and_large_budgets():
+    rnd = np.random.default_rng(3)
+    lengths = np.unique(np.concatenate([rnd.integers(1, 3_000, 3_000), rnd.integers(60_000, 40_000_000, 20_000)]))
+    counts = rnd.integers(1, 4, len(lengths))
+    total = int((lengths * counts).sum())
+    began = time.perf_counter()
+    for share in (0.3, 0.77):
+        take = M.fit(lengths, counts, int(total * share))
+        assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == int(total * share)
+    long = np.unique(rnd.integers(3_000_000, 40_000_000, 300))
+    take = M.fit(long, np.ones(len(long), np.int64), 100_000_000)
+    assert 99_900_000 <= int((take * long).sum()) <= 100_000_000
+    assert time.perf_counter() - began < 60
+
+
 def test_budgets_keep_proportions_and_caps():
     plan = M.budgets([("a", 0.5, 1, 1000), ("b", 0.3, 1, 1000), ("c", 0.2, 3, 10), ("d", 0.0, 1, 50), ("e", 0.1, 1, 0)], 800)
     got = {b.source: b.tokens for b in plan}
@@ -40,7 +73,6 @@ def test_budgets_keep_proportions_and_caps():
 
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(M, "RANKED", 20)
-    monkeypatch.setattr(M, "LONGEST", 500)
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["a", "a", "a", "b", "c", None, "unlisted"]), rnd.choice([None, 0, 7, 7, 7, rnd.randrange(1, 400), 900])) for i in range(3000)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").selectExpr("*", "1 as copies", "2 as u", "3 as bucket")
@@ -72,9 +104,7 @@ def test_empty_and_doubled(spark):
 
 @pytest.mark.parametrize("short", [0, 20])
 def test_long_documents_fill_the_rest(spark, monkeypatch, short):
-    monkeypatch.setattr(M, "LONGEST", 500)
     monkeypatch.setattr(M, "RANKED", 7)
-    monkeypatch.setattr(M, "TRIED", 3, raising=False)
     rnd = random.Random(short)
     rows = [(i, "a", 600 + rnd.randrange(400)) for i in range(40)] + [(100 + i, "a", rnd.randrange(1, 30)) for i in range(short)] + [(200, "a", 9_000)]
     sized, total = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), sum(r[2] for r in rows)
@@ -92,5 +122,5 @@ def test_default_size_keeps_every_share(spark):
     rows = [(i, "a", 1) for i in range(900)] + [(1000 + i, "b", 1) for i in range(10)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
     weights = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1), ("c", 0.5, 1)], "source string, target_weight double, max_repeats int")
-    report = {r["source"]: (r["actual_tokens"], r["actual_share"]) for r in M.mix(sized, weights)[1].collect()}
-    assert report == {"a": (40, 0.8), "b": (10, 0.2), "c": (0, 0.0)}
+    report = {r["source"]: (r["actual_tokens"], r["actual_share"], r["reachable_share"], r["deviation"]) for r in M.mix(sized, weights)[1].collect()}
+    assert report == {"a": (40, 0.8, 0.8, 0.0), "b": (10, 0.2, 0.2, 0.0), "c": (0, 0.0, 0.0, 0.0)}
