@@ -99,10 +99,14 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file with a base64 token and its rank on each line."""
+def vocabulary(data: bytes) -> Vocabulary:
+    """The vocabulary that a file holds, with a base64 token and its rank on each line."""
+    return Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())})
+
+
+def file_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
+        return f.read()
 
 
 class PrefixEncoder:
@@ -193,8 +197,8 @@ class PrefixEncoder:
 class TextEncoder:
     """Texts to ids: a text is split into words by ``pattern``, each word is encoded by its prefix table."""
 
-    def __init__(self, path: str, pattern: str):
-        self.vocab = vocabulary(path)
+    def __init__(self, data: bytes, pattern: str):
+        self.vocab = vocabulary(data)
         self.words = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -233,13 +237,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(path, pattern)
+def _encoder(data: bytes, pattern: str) -> TextEncoder:
+    return TextEncoder(data, pattern)
 
 
-def _batches(path: str, pattern: str, count_only: bool):
+def _batches(shared, pattern: str, count_only: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(shared.value, pattern)
         for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             texts = batch.column(0).to_pylist()
             rest, names = batch.columns[1:], batch.schema.names[1:]
@@ -257,7 +261,7 @@ def _batches(path: str, pattern: str, count_only: bool):
 
 
 def encode_corpus(df: DataFrame, text: str, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """``df`` without ``text``, with the ids of its text as ``ids`` (array of int).
+    """``df`` without ``text``, with the ids of its text as ``ids`` (array of int). ``path`` is a file that the driver can read.
 
     Defined cases: empty and null texts give an empty list; text that looks like a special token is ordinary text;
     lone surrogates can't occur in Spark's strings; a column called ``ids`` in the input is replaced; rows are neither
@@ -277,5 +281,7 @@ def _mapped(df: DataFrame, text: str, path: str, pattern: str, out: str, count_o
     inner = df.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     kind = T.LongType() if count_only else T.ArrayType(T.IntegerType())
     schema = T.StructType([*inner.schema.fields[1:], T.StructField("n_tokens" if count_only else "ids", kind)])
-    done = spread(inner, "c0" if rest else "t").mapInArrow(_batches(path, pattern, count_only), schema)
+    # the driver reads the vocabulary, a file of bounded size; executors needn't have it
+    shared = df.sparkSession.sparkContext.broadcast(file_bytes(path))
+    done = spread(inner, "c0" if rest else "t").mapInArrow(_batches(shared, pattern, count_only), schema)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col(schema.fields[-1].name).alias(out))

@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = now.where(F.col("overall_score").between(0, 100) & ~F.isnan("overall_score")).select(
         F.when(F.coalesce(name, F.lit("")) == "", F.lit("UNKNOWN")).otherwise(name).alias("primary_domain"), "overall_score", "file_id", "scan_id", "id"
     )
-    return top_n(rows, "primary_domain", "overall_score", ["file_id", "scan_id"], 5, "domain_rank").select("primary_domain", "domain_rank", "id")
+    return top_n(rows, "primary_domain", "overall_score", ["file_id", "scan_id"], 5, "domain_rank", edges_of=raw.select("overall_score").where("overall_score between 0 and 100")).select("primary_domain", "domain_rank", "id")
 
 
 P1_SQL = r"""

@@ -7,12 +7,12 @@ from hypothesis import strategies as st
 tiktoken = pytest.importorskip("tiktoken")
 pytest.importorskip("public_tokenizers")
 
-from siftmill.llm.bpe import PrefixEncoder, TextEncoder, count_tokens, encode_corpus, tokenizer_file, vocabulary  # noqa: E402
+from siftmill.llm.bpe import PrefixEncoder, TextEncoder, count_tokens, encode_corpus, file_bytes, tokenizer_file, vocabulary  # noqa: E402
 
 PATH, PATTERN = tokenizer_file()
-VOCAB = vocabulary(PATH)
+VOCAB = vocabulary(file_bytes(PATH))
 ORACLE = tiktoken.Encoding("test", pat_str=PATTERN, mergeable_ranks=VOCAB.ranks, special_tokens={})
-ENCODER = TextEncoder(PATH, PATTERN)
+ENCODER = TextEncoder(file_bytes(PATH), PATTERN)
 
 
 @settings(max_examples=300, deadline=None)
@@ -49,9 +49,9 @@ def test_other_vocabulary():
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    v = vocabulary(path)
+    v = vocabulary(file_bytes(str(path)))
     oracle = tiktoken.Encoding("multi", pat_str=PATTERN, mergeable_ranks=v.ranks, special_tokens={})
-    encoder = TextEncoder(path, PATTERN)
+    encoder = TextEncoder(file_bytes(str(path)), PATTERN)
     for text in ("Grüße aus Łódź", "данные не найдены", "報告書を削除しないでください", "  \n\n\t x", "a" * 5000):
         assert encoder.encode(text) == oracle.encode_ordinary(text)
 
@@ -65,3 +65,11 @@ def test_corpus(spark):
     assert counts == {i: len(x) for i, x in rows.items()}
     assert encode_corpus(df.limit(0), "text", PATH, PATTERN).count() == 0
     assert b"".join(VOCAB.tokens[i] for i in rows[4]).decode() == texts[4]
+
+
+def test_executors_do_not_need_the_file(spark, tmp_path):
+    own = tmp_path / "own.tiktoken"
+    own.write_bytes(file_bytes(PATH))
+    out = encode_corpus(spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string"), "text", str(own), PATTERN)
+    own.unlink()
+    assert {r["doc_id"]: r["ids"] for r in out.collect()} == {1: ORACLE.encode_ordinary("some words"), 2: []}

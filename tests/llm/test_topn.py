@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from siftmill.llm import topn as T
 from siftmill.llm.topn import latest, top_n
 
 SCHEMA = "g string, s double, a long, b long"
@@ -33,6 +34,18 @@ def test_against_brute_force(spark, bound):
     assert sorted(key(got(top_n(df, "g", "s", ["a", "b"], 5, broadcast_groups=bound)))) == sorted(key(brute(rows, 5)))
 
 
+@pytest.mark.parametrize("bound,after_ranking", [(50_000, False), (3, True)])
+def test_full_groups_are_always_removed(spark, monkeypatch, bound, after_ranking):
+    plans, keep = [], T.stored
+    monkeypatch.setattr(T, "stored", lambda df, name="part", by=None: (plans.append((name, df._jdf.queryExecution().toString())), keep(df, name, by))[1])
+    df = spark.createDataFrame([(f"g{i % 40}", float(i), i, 0) for i in range(4000)], SCHEMA)
+    assert top_n(df, "g", "s", ["a"], 5, broadcast_groups=bound).count() == 200
+    bands = [p for name, p in plans if name == "topn-band"][1:]
+    assert bands and all("LeftAnti" in p and "PartitionFilters: [isnotnull(__band" in p for p in bands)
+    last = bands[-1][bands[-1].index("== Optimized") : bands[-1].index("== Physical")]
+    assert (last.index("LeftAnti") < last.index("row_number")) is after_ranking
+
+
 def test_bands_do_not_show(spark):
     rows = [("g", float(i % 7), i, 0) for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
