@@ -1,11 +1,12 @@
 """Near-duplicate texts by DartMinHash signatures, banded joining and exact verification.
 
-A text is a weighted set of word shingles. Darts are thrown into the regions of each element: a region is a unit of
-weight by a unit of rank, the number of darts in it is Poisson distributed with mean 1, and all of that is hashed from
-the element and the region, so equal elements throw equal darts in every text. A dart counts if it lands inside the
-element's weight. Each coordinate of the signature keeps its earliest dart; ranks are worked off strip by strip until
-every coordinate has one, so a text costs about k ln k darts whatever its length. Two signatures agree in a coordinate
-with the probability of the weighted Jaccard similarity.
+A text is a weighted set of word shingles. Darts are thrown into the regions of each element: a region has the area 1 in
+the plane of weight and rank, the number of darts in it is Poisson distributed with mean 1, and all of that is hashed from
+the element and the region, so equal elements throw equal darts in every text. Regions are a unit of weight by a unit of
+rank, and below the weight 1 dyadic: half the weight by two of rank, and so on, so light sets take few regions too. A dart
+counts if it lands inside the element's weight. Each coordinate of the signature keeps its earliest dart; ranks are worked
+off in rounds until every coordinate has one, so a text costs about k ln k darts whatever its length and weight. Two
+signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
 
 Texts with equal shingle sets are folded into one class before anything is joined: a group of copies that holds a
 third of all rows is one signature row. Classes meet in bands (a join on the band's hash, split by adaptive skew handling),
@@ -14,6 +15,7 @@ meeting pairs are compared on all their shingles.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -30,8 +32,10 @@ MASK48 = np.uint64((1 << 48) - 1)
 #: Words whose hashes a Python worker keeps.
 KNOWN_WORDS = 1_000_000
 ROWS_AT_ONCE = 2_000
-#: Ids of texts to compare that are broadcast to the scan of the texts; more are joined by a shuffle.
+#: Ids of classes or of texts to compare that are broadcast to a scan; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a band for up to so many texts, and the chance that a pair at the threshold meets in no band.
+FEW_ROWS, FEW_TEXTS, MISSED = 4, 10_000_000, 1e-6
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,46 +63,79 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray | N
     """DartMinHash signatures of ``n_docs`` weighted sets as an (n_docs, k) array of uint64: rank above, dart id below.
 
     doc, element: a row for each element of each set; weight: its positive weight, 1 if not given. A set without
-    elements has the greatest value in all coordinates.
+    elements has the greatest value in all coordinates. Weights below 2^-``LEVELS`` are right but take longer.
     """
     with np.errstate(over="ignore"):
         element = mixed(element ^ mixed(np.array([seed], np.uint64)))
-        inside = None
         if weight is None:
+            inside, length = None, np.ones(len(doc))
             element = mixed(element)
-        else:  # one row for each unit of weight, the last one may be partial
-            slabs = np.ceil(weight).astype(np.int64)
-            first = np.repeat(np.cumsum(slabs) - slabs, slabs)
-            level = np.arange(len(first)) - first
-            inside = np.minimum(1.0, np.repeat(weight, slabs) - level)
-            doc = np.repeat(doc, slabs)
-            element = mixed(np.repeat(element, slabs) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        else:
+            doc, element, inside, length = slabs(doc, element, weight)
         best = np.full(n_docs * k, np.iinfo(np.uint64).max, np.uint64)
-        strip = 0
+        begin, end = 0.0, 1.0
         while len(doc):
-            region = mixed(element + np.uint64(strip + 1) * np.uint64(0xD1B54A32D192ED03))
+            # the strips of rank that begin in this round, each of the area 1
+            if weight is None:
+                at, strip = np.arange(len(doc)), np.full(len(doc), int(begin))
+            else:
+                first, last = np.ceil(begin / length).astype(np.int64), np.ceil(end / length).astype(np.int64)
+                strips = last - first
+                at = np.repeat(np.arange(len(doc)), strips)
+                strip = np.arange(len(at)) - np.repeat(np.cumsum(strips) - strips, strips) + first[at]
+            region = mixed(element[at] + (strip.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
             darts = np.searchsorted(EDGES, region, side="right")
-            owner = np.repeat(np.arange(len(doc)), darts)
+            owner = np.repeat(np.arange(len(at)), darts)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(darts) - darts, darts)
             dart = mixed(region[owner] ^ (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8CB92BA72F3D8DD7))
-            of = doc[owner]
+            of = at[owner]
             if inside is not None:
-                lands = (mixed(dart + np.uint64(7)) >> np.uint64(11)) * 2.0**-53 < inside[owner]
-                dart, of = dart[lands], of[lands]
-            spot = of * k + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+                lands = (mixed(dart + np.uint64(7)) >> np.uint64(11)) * 2.0**-53 < inside[of]
+                dart, of, owner = dart[lands], of[lands], owner[lands]
+            spot = doc[of] * k + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
             again = mixed(dart)
-            rank = (np.uint64(strip) << np.uint64(52)) | ((again >> np.uint64(40)) << np.uint64(28))
-            np.minimum.at(best, spot, rank | (again & np.uint64((1 << 28) - 1)))
-            strip += 1
-            # a set whose coordinates are all taken can't change any more: later strips have later ranks
-            lacking = (best.reshape(n_docs, k) == np.iinfo(np.uint64).max).any(axis=1)
-            more = lacking[doc]
+            rank = ((strip[owner] + (again >> np.uint64(40)) * 2.0**-24) * length[of]).astype(np.float32)
+            np.minimum.at(best, spot, (rank.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (again & np.uint64(0xFFFFFFFF)))
+            # a set can't change any more once all its coordinates are taken before the end of this round
+            bound = np.uint64(np.float32(end).view(np.uint32)) << np.uint64(32)
+            more = (best.reshape(n_docs, k) >= bound).any(axis=1)[doc]
             if not more.all():
-                doc, element = doc[more], element[more]
+                doc, element, length = doc[more], element[more], length[more]
                 inside = None if inside is None else inside[more]
+            begin, end = end, end + 1.0 if weight is None else end * 2.0
         return best.reshape(n_docs, k)
 
 
+#: Dyadic levels of weight below 1.
+LEVELS = 20
+
+
+def slabs(doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slabs of weight of each element: set, hash, the share of the slab that lies inside the weight, and its strips' length of rank.
+
+    Above 1 slabs are one unit wide; below, they reach from 2^-(j + 1) to 2^-j, the last one from 0 to 2^-``LEVELS``.
+    """
+    units = np.maximum(np.ceil(weight) - 1, 0).astype(np.int64)
+    n = units + LEVELS + 1
+    row = np.repeat(np.arange(len(doc)), n)
+    level = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    below = level <= LEVELS
+    low = np.where(below, np.where(level == LEVELS, 0.0, 2.0 ** -(np.minimum(level, LEVELS) + 1.0)), level - LEVELS)
+    wide = np.where(below, np.where(level == LEVELS, 2.0**-LEVELS, low), 1.0)
+    inside = np.minimum(1.0, (weight[row] - low) / wide)
+    keep = inside > 0
+    row, level = row[keep], level[keep]
+    return doc[row], mixed(element[row] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), inside[keep], 1.0 / wide[keep]
+
+
+def banding(n: int, threshold: float) -> tuple[int, int]:
+    """(bands, rows) for ``n`` texts: a band has one more row for each tenfold beyond ``FEW_TEXTS``, so that dissimilar texts of
+    common phrases don't meet more often as there are more of them; the bands make up for it, so the chance to miss a pair at the threshold is ``MISSED`` at every size.
+    """
+    rows = FEW_ROWS + max(0, math.ceil(math.log10(max(n, 1) / FEW_TEXTS)))
+    return math.ceil(math.log(MISSED) / math.log1p(-(threshold**rows))), rows
+
+
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN_WORDS:
@@ -160,27 +197,41 @@ def hashed_shingles(words: int):
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(words)])))
 
 
-def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words: int = 5, min_words: int = 5, bands: int = 80, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id: str, text: str, threshold: float, words: int = 5, min_words: int = 5, bands: int | None = None, rows: int | None = None, unique_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the pairs of classes with Jaccard similarity of at least ``threshold``.
 
     Returns ``members`` (id, class_id: the smallest id with the same shingle set) and ``links`` (class_a < class_b,
-    similarity). ``id`` must be a whole number. A pair at similarity s meets with probability 1 - (1 - s^rows)^bands: with
-    80 bands of 4 rows 0.99998 at 0.6 and more above it; every meeting pair is compared on all shingles. More
-    rows let fewer dissimilar texts of common phrases meet, which matters as their pairs grow with the square of the texts.
+    similarity). ``id`` must be a whole number. A pair at similarity s meets with probability 1 - (1 - s^rows)^bands;
+    bands and rows are taken by ``banding`` unless given: 100 bands of 4 rows, 0.999999 at 0.6 and more above it, for up to
+    ten million texts. Every meeting pair is compared on all shingles. unique_ids: no id has two texts, as the caller knows.
 
     Defined cases: null texts and texts of fewer than ``min_words`` words (or than one shingle) take no part; rows with
-    a null id take no part; repeated rows are one member; letter case and all characters but a-z, 0-9 and _ don't
-    matter; long texts are taken whole; an empty table gives empty results; other columns don't matter.
+    a null id take no part; repeated rows are one member; of an id with several texts the one of the least hash counts;
+    letter case and all characters but a-z, 0-9 and _ don't matter; long texts are taken whole; an empty table gives
+    empty results; other columns don't matter.
     """
     spark = df.sparkSession
     shared_dir(spark)
     source = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    if not unique_ids:
+        hashed = F.xxhash64("text")
+        several = stored(source.groupBy("id").agg(F.min(hashed).alias("least"), F.max(hashed).alias("greatest")).where("least <> greatest").select("id", "least"), "neardup-several")
+        if not several.isEmpty():
+            source = source.join(several, "id", "left").where(F.col("least").isNull() | (hashed == F.col("least"))).select("id", "text")
+    if bands is None or rows is None:
+        bands, rows = banding(source.count(), threshold)
     signed = stored(spread(source, "id").mapInArrow(_signed(words, min_words, bands, rows), "id long, one long, two long, bands array<long>"), "neardup-signed")
-    classes = signed.groupBy("one", "two").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"))
-    classes = stored(classes, "neardup-classes")
-    members = signed.select("id", "one", "two").distinct().join(classes.select("one", "two", "class_id"), ["one", "two"]).select("id", "class_id")
-
-    met = classes.select("class_id", F.explode("bands").alias("band"))
+    keys = signed.select("id", "one", "two")
+    classes = stored(keys.groupBy("one", "two").agg(F.min("id").alias("class_id")), "neardup-classes")
+    members = (keys if unique_ids else keys.distinct()).join(classes, ["one", "two"]).select("id", "class_id")
+
+    # one row of each class has its bands
+    of_classes = classes.select(F.col("class_id").alias("id"))
+    if of_classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        of_classes = F.broadcast(of_classes)
+    firsts = signed.select("id", "bands").join(of_classes, "id", "left_semi")
+    firsts = firsts if unique_ids else firsts.dropDuplicates(["id"])
+    met = firsts.select(F.col("id").alias("class_id"), F.explode("bands").alias("band"))
     pairs = met.alias("a").join(met.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.class_id") < F.col("b.class_id")))
     pairs = stored(pairs.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).distinct(), "neardup-pairs")
 

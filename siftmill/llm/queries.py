@@ -56,7 +56,7 @@ SELECT primary_domain, CAST(domain_rank AS INT) AS domain_rank, id FROM (
 
 
 def _near_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates(table(spark, sf_dir, "files").select("id", "content_sample"), "id", "content_sample", 0.6, words=3, min_words=20)
+    return near_duplicates(table(spark, sf_dir, "files").select("id", "content_sample"), "id", "content_sample", 0.6, words=3, min_words=20, unique_ids=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,20 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of classes of equal samples that are linked, and how similar they are."""
+    return _near_samples(spark, sf_dir)[1]
+
+
+def p2_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search: every file whose id is divisible by 50 against all files; the classes that its sample is in or linked to."""
+    members, links = _near_samples(spark, sf_dir)
+    asked = members.where("id % 50 = 0")
+    either = links.select(F.col("class_a").alias("class_id"), F.col("class_b").alias("found_class"), "similarity").unionByName(links.select(F.col("class_b").alias("class_id"), F.col("class_a").alias("found_class"), "similarity"))
+    near = asked.join(either, "class_id").select("id", "found_class", "similarity")
+    return near.unionByName(asked.select("id", F.col("class_id").alias("found_class"), F.lit(1.0).alias("similarity")))
+
+
 # --- p3: functions paired with their documentation -----------------------------------------------------------------
 
 
@@ -265,7 +279,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p2_links": p2_links, "p2_searched": p2_searched, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:

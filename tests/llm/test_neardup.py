@@ -1,4 +1,6 @@
+import math
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -59,8 +61,39 @@ def test_agreement_follows_weighted_similarity():
     s = N.dart_signatures(np.repeat([0, 1], 300), np.concatenate([element, element]), np.concatenate([a, b]), 2, k)
     want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
     assert abs((s[0] == s[1]).mean() - want) < 4 * (want * (1 - want) / k) ** 0.5
-    ones = N.dart_signatures(np.repeat([0, 1], 300), np.concatenate([element, element]), np.ones(600), 2, 64)
-    assert (ones == N.dart_signatures(np.repeat([0, 1], 300), np.concatenate([element, element]), None, 2, 64)).all()
+
+
+@pytest.mark.parametrize("weight", [1000.0, 1.0, 0.1, 0.02, 0.005, 1e-5, 1e-7])
+def test_light_and_heavy_sets(weight):
+    rnd = np.random.default_rng(7)
+    k, docs = 200, 40
+    began = time.perf_counter()
+    agree = []
+    for _ in range(docs):
+        shared, own = rnd.integers(0, 1 << 48, 10, dtype=np.uint64), rnd.integers(0, 1 << 48, 10, dtype=np.uint64)
+        element = np.concatenate([shared, own[:5], shared, own[5:]])
+        s = N.dart_signatures(np.repeat([0, 1], 15), element, np.full(30, weight), 2, k)
+        agree.append((s[0] == s[1]).mean())
+    assert abs(np.mean(agree) - 0.5) < 4 * (0.25 / (k * docs)) ** 0.5
+    assert time.perf_counter() - began < 60
+    none = N.dart_signatures(np.repeat([0, 1], 15), element, None, 2, 8_000)
+    assert abs((none[0] == none[1]).mean() - 0.5) < 4 * (0.25 / 8_000) ** 0.5
+
+
+def test_banding():
+    assert N.banding(1_000, 0.6) == (100, 4) and N.banding(10_000_000, 0.6) == (100, 4)
+    for n in (10**3, 10**8, 10**9, 10**10):
+        for threshold in (0.6, 0.8):
+            bands, rows = N.banding(n, threshold)
+            assert (1 - threshold**rows) ** bands <= N.MISSED and rows == max(4, 4 + round(math.log10(n)) - 7)
+
+
+def test_an_id_with_two_texts(spark):
+    a, b = " ".join(WORDS[:30]), " ".join(WORDS[100:130])
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end")], "id long, text string")
+    links = {(r["class_a"], r["class_b"]) for r in N.near_duplicates(df, "id", "text", 0.8)[1].collect()}
+    assert len(links) == 1 and links <= {(1, 2), (1, 3)}
+    assert N.near_duplicates(df.repartition(5), "id", "text", 0.8)[1].collect()[0][:2] == next(iter(links))
 
 
 def test_edge_cases(spark):
@@ -74,6 +107,12 @@ def test_edge_cases(spark):
     assert members.count() == links.count() == 0
 
 
+def test_joins_instead_of_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    test_against_brute_force(spark, 3, 0.6)
+    test_edge_cases(spark)
+
+
 def test_links_at_the_threshold(spark):
     rows = []
     for i in range(6_000):  # 15 of 25 words are shared
