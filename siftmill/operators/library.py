@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import files as P
 from ..functions import fixed as X
 from ..functions import text as T
+from ..sources.samples import json_paths
 
 C = F.col
 
@@ -42,10 +43,14 @@ def secrets(code: DataFrame, id: str) -> DataFrame:
     return hit.select("id", "secret_type", "line_number", T.mask_secret(C("secret")).alias("preview"))
 
 
+def borne(text: Column) -> Column:
+    """The design patterns of which a text bears a mark."""
+    return F.array_compact(F.array(*[F.when(T.has(text, "(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in X.DESIGN.items()]))
+
+
 def design_patterns(code: DataFrame, id: str) -> DataFrame:
     """(id, pattern): each design pattern of which a text bears a mark, once."""
-    marks = [F.when(T.has(C("content"), "(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in X.DESIGN.items()]
-    return code.select(C(id).alias("id"), F.explode(F.array_compact(F.array(*marks))).alias("pattern"))
+    return code.select(C(id).alias("id"), F.explode(borne(C("content"))).alias("pattern"))
 
 
 def schemas(code: DataFrame, id: str) -> DataFrame:
@@ -103,12 +108,17 @@ def script_functions(code: DataFrame, id: str) -> DataFrame:
     The body is the line and the twenty after it.
     """
     script = code.where(language(C("extension")).isin("javascript", "typescript"))
-    lines = script.withColumn("lines", F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")).select(C(id).alias("id"), "lines", F.posexplode("lines").alias("at", "text"))
-    forms = [F.when(C("text").rlike(n), F.struct(F.regexp_extract("text", n, 1).alias("name"), F.trim(F.regexp_extract("text", a, 1)).alias("args"))) for n, a in X.JS_FUNCTIONS]
-    usable = [F.when(~f["name"].isin(*X.NO_FUNCTIONS), f) for f in forms]
-    found = lines.select("id", "at", "lines", F.coalesce(*usable).alias("f")).where("f is not null")
-    body = F.array_join(F.slice("lines", C("at") + 1, F.lit(21)), "\n")
-    return found.select("id", "f.name", (C("at") + 1).alias("line_number"), "f.args", F.size(F.filter(F.split("f.args", ","), lambda a: F.length(F.trim(a)) > 0)).alias("arg_count"), T.body_hash(body).alias("body_hash"))
+    lines = script.select(C(id).alias("id"), F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("lines"))
+
+    def form(text: Column) -> Column:
+        named = [(F.regexp_extract(text, n, 1), text.rlike(n), F.trim(F.regexp_extract(text, a, 1))) for n, a in X.JS_FUNCTIONS]
+        return F.coalesce(*[F.when(fits & ~name.isin(*X.NO_FUNCTIONS), F.struct(name.alias("name"), args.alias("args"))) for name, fits, args in named])
+
+    # only the lines that open a function leave the array, each with the hash of its body
+    opened = F.filter(F.transform("lines", lambda text, at: F.struct(at.alias("at"), form(text).alias("f"))), lambda x: x["f"].isNotNull())
+    hits = F.transform(opened, lambda x: F.struct(x["f"]["name"].alias("name"), (x["at"] + 1).alias("line_number"), x["f"]["args"].alias("args"), T.body_hash(F.array_join(F.slice("lines", x["at"] + 1, F.lit(21)), "\n")).alias("body_hash")))
+    counted = F.size(F.filter(F.split("args", ","), lambda a: F.length(F.trim(a)) > 0)).alias("arg_count")
+    return lines.select("id", F.inline(hits)).select("id", "name", "line_number", "args", counted, "body_hash")
 
 
 def _annotated(arg: ast.arg) -> str:
@@ -116,7 +126,7 @@ def _annotated(arg: ast.arg) -> str:
 
 
 def _signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[str, int]:
-    """The signature as written, with all kinds of parameters, and how many plain ones there are."""
+    """The signature as written and the number of parameters, each with all kinds of them."""
     a = node.args
     shown = [_annotated(p) for p in a.posonlyargs] + (["/"] if a.posonlyargs else []) + [_annotated(p) for p in a.args]
     if a.vararg or a.kwonlyargs:
@@ -125,7 +135,7 @@ def _signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[str, int]:
     if a.kwarg:
         shown.append("**" + _annotated(a.kwarg))
     start = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-    return f"{start} {node.name}({', '.join(shown)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else ""), len(a.args)
+    return f"{start} {node.name}({', '.join(shown)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else ""), len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None)
 
 
 def _grade(node: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
@@ -150,19 +160,19 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.splitlines()
             for node in ast.walk(tree):
                 if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                    signature, plain = _signature(node)
+                    signature, arguments = _signature(node)
                     body = textwrap.dedent("\n".join(lines[node.lineno - 1 : node.end_lineno]))
-                    rows.append((i, node.name, node.lineno, signature, (ast.get_docstring(node) or "")[:500], body[:4000], body, plain, isinstance(node, ast.AsyncFunctionDef), _grade(node)))
+                    rows.append((i, node.name, node.lineno, signature, (ast.get_docstring(node) or "")[:500], body[:4000], body, arguments, isinstance(node, ast.AsyncFunctionDef), _grade(node)))
         c = list(zip(*rows)) if rows else [()] * 10
         kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32()]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), *[pa.array(v, k) for v, k in zip(c[1:], kinds)]], names=["id", "name", "line_number", "signature", "docstring", "body", "whole", "arg_count", "is_async", "quality"])
 
 
 def python_functions(code: DataFrame, id: str) -> DataFrame:
-    """Functions of Python files that compile: name, line, signature, docstring, body, hash of the body, arguments, grade."""
+    """Functions of Python files that compile: name, line, signature, docstring, body, hash of the body, arguments, grade, design patterns."""
     source = code.where(F.lower("extension") == ".py").select(C(id).cast("long").alias("id"), "content")
     found = source.mapInArrow(_parsed, "id long, name string, line_number int, signature string, docstring string, body string, whole string, arg_count int, is_async boolean, quality int")
-    return found.select("id", "name", "line_number", "signature", "docstring", "body", T.body_hash(C("whole")).alias("body_hash"), "arg_count", "is_async", "quality")
+    return found.select("id", "name", "line_number", "signature", "docstring", "body", T.body_hash(C("whole")).alias("body_hash"), "arg_count", "is_async", "quality", borne(C("whole")).alias("patterns"))
 
 
 def copy_counts(functions: DataFrame) -> DataFrame:
@@ -170,6 +180,52 @@ def copy_counts(functions: DataFrame) -> DataFrame:
     return functions.groupBy("body_hash").agg(F.min("name").alias("name"), F.count_distinct("id").alias("copies"))
 
 
+LIBRARY = ("pattern", "schema", "endpoint", "prompt", "config", "error", "credential", "secret")
+
+
+def extract_all(code: DataFrame, id: str) -> DataFrame:
+    """(id, library, name, detail): what all extractors but those of functions find, over one read of the contents.
+
+    Files of no known language give prompts, credentials and secrets only. A row is an entry of its library; entries of one
+    file are gathered as arrays, which hold no more than its text does.
+    """
+    text, lang = C("content"), language(C("extension"))
+    python, script, known = lang == "python", lang.isin("javascript", "typescript"), lang != "unknown"
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    none = F.array().cast("array<struct<library:string,name:string,detail:string>>")
+
+    def entries(kind: str, found: Column, name, detail=None, when: Column | None = None) -> Column:
+        out = F.transform(found, lambda x: F.struct(F.lit(kind).alias("library"), name(x).cast("string").alias("name"), (F.lit("") if detail is None else detail(x)).cast("string").alias("detail")))
+        return out if when is None else F.when(when, out).otherwise(none)
+
+    one = lambda pattern: T.all_matches(text, pattern)
+    model = F.arrays_zip(one(X.MODEL_CLASS).alias("name"), one(X.MODEL_BASE).alias("base"))
+    itself = lambda x: x
+    g1, g2 = (lambda x: x["g1"]), (lambda x: x["g2"])
+    long_prompts = F.filter(F.transform(one(X.PROMPT), bare), lambda x: F.length(x) > 50)
+
+    def masked(kind: str, pattern: str) -> Column:
+        found = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(line, F.lit(pattern), F.lit(0))))
+        return entries("secret", found, lambda x: F.lit(kind), T.mask_secret)
+
+    parts = [
+        entries("pattern", borne(text), itself, when=known),
+        entries("schema", model, lambda x: x["name"], lambda x: F.when(x["base"] == "BaseModel", "pydantic").otherwise("typed_dict"), python),
+        entries("schema", one(X.CREATE_TABLE), itself, lambda x: F.lit("sqlite_table"), python),
+        entries("schema", one(X.TS_INTERFACE), itself, lambda x: F.lit("ts_interface"), script),
+        entries("endpoint", F.array_distinct(F.transform(zipped(text, X.ENDPOINT, 2), lambda x: F.struct(F.upper(x["g1"]).alias("g1"), x["g2"].alias("g2")))), g2, g1, known),
+        entries("prompt", long_prompts, lambda x: F.lit("system_prompt"), lambda x: F.substring(x, 1, 1000)),
+        entries("prompt", one(X.CHAT_PROMPT), lambda x: F.lit("chat_system"), lambda x: F.substring(x, 1, 1000)),
+        entries("config", zipped(text, X.CONSTANT, 2), g1, lambda x: F.substring(bare(x["g2"]), 1, 80), python),
+        entries("config", one(X.ENVIRONMENT), itself, lambda x: F.lit("env_var"), known),
+        entries("error", zipped(text, X.PY_HANDLER, 2), lambda x: bare(x["g1"]), lambda x: F.substring(bare(x["g2"]), 1, 300), python),
+        entries("error", zipped(text, X.JS_HANDLER, 2), lambda x: bare(x["g1"]), lambda x: F.substring(bare(x["g2"]), 1, 300), script),
+        entries("credential", F.array_distinct(F.concat(*[one(p) for p in X.CREDENTIAL_USES])), itself),
+        *[masked(kind, pattern) for kind, pattern in X.SECRETS.items()],
+    ]
+    return code.where(text.isNotNull()).select(C(id).alias("id"), F.inline(F.concat(*parts)))
+
+
 # --- errors ---------------------------------------------------------------------------------------------------------------
 
 
@@ -236,6 +292,102 @@ def line_counts(code: DataFrame, id: str) -> DataFrame:
     return code.select(C(id).alias("id"), F.size(lines).alias("total_lines"), F.size(F.filter(lines, lambda x: bare(x) == "")).alias("blank_lines"), F.size(F.filter(lines, lambda x: bare(x).startswith("#") | bare(x).startswith("//"))).alias("comment_lines"))
 
 
+# Functions and classes in files of other languages than Python, by extension; the first group that isn't empty is the name.
+_SCRIPT_FUNCTION = r"(?:async\s+)?(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[\w]+)\s*=>)"
+FUNCTIONS_OF = {
+    ".js": _SCRIPT_FUNCTION, ".ts": _SCRIPT_FUNCTION, ".tsx": _SCRIPT_FUNCTION, ".go": r"func\s+(?:\([^)]+\)\s+)?(\w+)", ".rs": r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", ".java": r"(?:public|private|protected)?\s+(?:static\s+)?[\w<>]+\s+(\w+)\s*\(",
+}
+CLASSES_OF = {e: r"class\s+(\w+)(?:\s+extends\s+(\w+))?" for e in (".js", ".ts", ".tsx", ".java")}
+FRAMEWORKS = ("fastapi", "flask", "django", "express", "hono", "nextjs", "react", "vue", "svelte", "pydantic", "sqlalchemy", "torch")
+CODE_FILES = (".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".java", ".cpp", ".c", ".cs")
+CONFIG_FILES = (".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".env", ".conf")
+DOCUMENT_FILES = (".md", ".txt", ".rst", ".adoc")
+LARGEST_ASSIMILATED = 5 * 1024 * 1024
+
+
+def _python_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, functions, classes, imports, has_async, has_types, has_docs) of Python texts; those that don't compile have none."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(1).to_pylist():
+            functions, classes, imports, is_async, typed, told = [], [], [], False, False, False
+            try:
+                nodes = list(ast.walk(ast.parse(text)))
+            except (SyntaxError, ValueError, RecursionError):
+                nodes = []
+            for n in nodes:
+                if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
+                    functions.append(n.name)
+                    is_async |= isinstance(n, ast.AsyncFunctionDef)
+                    typed |= n.returns is not None
+                    told |= bool(ast.get_docstring(n))
+                elif isinstance(n, ast.ClassDef):
+                    classes.append(n.name)
+                elif isinstance(n, ast.Import):
+                    imports += [a.name for a in n.names]
+                elif isinstance(n, ast.ImportFrom) and n.module:
+                    imports.append(n.module)
+            rows.append((functions, classes, imports, is_async, typed, told))
+        c = list(zip(*rows)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.list_(pa.string())) for v in c[:3]], *[pa.array(v, pa.bool_()) for v in c[3:]]], names=["id", "functions", "classes", "imports", "has_async", "has_types", "has_docs"])
+
+
+def code_structure(code: DataFrame, id: str) -> DataFrame:
+    """(id, functions, classes, imports, has_async, has_types, has_docs): names that source files define and import.
+
+    Python files by their syntax tree, others by patterns; imports are known of Python files only.
+    """
+    ext, text = F.lower("extension"), C("content")
+    python = code.where((ext == ".py") & text.isNotNull()).select(C(id).cast("long").alias("id"), "content")
+    parts = "id long, functions array<string>, classes array<string>, imports array<string>, has_async boolean, has_types boolean, has_docs boolean"
+    nothing = F.array().cast("array<string>")
+
+    def named(patterns: dict[str, str]) -> Column:
+        case = None
+        for e, p in patterns.items():
+            two = F.transform(zipped(text, p, 2), lambda m: F.coalesce(F.nullif(m["g1"], F.lit("")), F.nullif(m["g2"], F.lit("")))) if p == _SCRIPT_FUNCTION else T.all_matches(text, p)
+            case = F.when(ext == e, two) if case is None else case.when(ext == e, two)
+        return F.array_compact(F.coalesce(case, nothing))
+
+    no = F.lit(False)
+    other = code.where(ext.isin(*CODE_FILES) & (ext != ".py") & text.isNotNull()).select(C(id).cast("long").alias("id"), named(FUNCTIONS_OF).alias("functions"), named(CLASSES_OF).alias("classes"), nothing.alias("imports"), no.alias("has_async"), no.alias("has_types"), no.alias("has_docs"))
+    return python.mapInArrow(_python_parts, parts).unionByName(other)
+
+
+def framework_counts(structure: DataFrame, least: int = 2) -> DataFrame:
+    """(framework, occurrences): imports of frameworks in ``least`` places or more."""
+    used = structure.select(F.explode("imports").alias("framework")).where(C("framework").isin(*FRAMEWORKS))
+    return used.groupBy("framework").agg(F.count(F.lit(1)).alias("occurrences")).where(C("occurrences") >= least)
+
+
+def assimilated(files: DataFrame, id: str) -> DataFrame:
+    """(id, kind): which files are analysed as code, settings or documents, by extension; empty and very large ones aren't."""
+    ext = F.lower("extension")
+    kind = F.when(ext.isin(*CODE_FILES), "code").when(ext.isin(*CONFIG_FILES), "config").when(ext.isin(*DOCUMENT_FILES), "document")
+    return files.where((C("size_bytes") > 0) & (C("size_bytes") <= LARGEST_ASSIMILATED) & kind.isNotNull()).select("*", kind.alias("kind"))
+
+
+def assimilate(files: DataFrame, id: str) -> DataFrame:
+    """(id, kind, keys): code with its functions and classes, settings with their keys, documents of more than twenty words with their headings.
+
+    Files in which nothing of that is found are left out.
+    """
+    rows = assimilated(files, id)
+    code, config, docs = (rows.where(C("kind") == k) for k in ("code", "config", "document"))
+    structure = code_structure(code, id).where((F.size("functions") > 0) | (F.size("classes") > 0)).select("id", F.lit("code").alias("kind"), F.concat("functions", "classes").alias("keys"))
+    settings_ = config_keys(config, id).select("id", "keys").unionByName(json_settings(config, id).select("id", "keys")).where(F.size("keys") > 0).select(C("id").cast("long").alias("id"), F.lit("config").alias("kind"), "keys")
+    told = document_summaries(docs, id, "content").where("words > 20").select(C("id").cast("long").alias("id"), F.lit("document").alias("kind"), C("headings").alias("keys"))
+    return structure.unionByName(settings_).unionByName(told)
+
+
+def json_settings(files: DataFrame, id: str) -> DataFrame:
+    """(id, keys, depth, has_env) of JSON files: at most fifty dotted keys, of lists those of the first item."""
+    rows = files.where((F.lower("extension") == ".json") & C("content").isNotNull())
+    facts = json_paths(rows, id, "content")
+    env = rows.select(C(id).cast("long").alias("id"), T.has(C("content"), USES_ENVIRONMENT).alias("has_env"))
+    return facts.join(env, "id").select("id", F.slice("keys", 1, 50).alias("keys"), "depth", "has_env")
+
+
 CONFIG_KEYS = {
     (".yaml", ".yml"): (r"(?m)^(\w[\w.-]*):",), (".toml",): (r"(?m)^\[([^\]]+)\]", r"(?m)^(\w+)\s*="), (".ini", ".cfg"): (r"(?m)^\[([^\]]+)\]", r"(?m)^(\w+)\s*="), (".env", ".conf"): (r"(?m)^(\w+)=",),
 }

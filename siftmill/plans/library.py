@@ -64,8 +64,15 @@ S_SECRETS = "WITH l AS (SELECT file_id AS id, unnest(string_split(content, chr(1
 ) + ") SELECT id, secret_type, CAST(n AS INT) AS line_number, CASE WHEN length(secret) <= 4 THEN '****' ELSE left(secret, 2) || '…' || right(secret, 2) || ' (len=' || length(secret) || ')' END AS preview FROM m"
 
 
-@query("l4_masked_secrets", S_SECRETS.format(source=S_TEXTS))
+@query("l4_masked_secrets", S_SECRETS.format(source=S_CODE))
 def l4_masked_secrets(spark, d):
+    """Secrets in whole source files."""
+    return L.secrets(code(spark, d), "file_id")
+
+
+@query("l4_masked_secrets_in_samples", S_SECRETS.format(source=S_TEXTS))
+def l4_masked_secrets_in_samples(spark, d):
+    """Secrets in the samples of all files: of settings and notes there is no other text."""
     return L.secrets(texts(spark, d), "file_id")
 
 
@@ -121,9 +128,40 @@ def l10_error_handlers(spark, d):
 _USES = f"list_concat({', '.join(s_matches('content', p) for p in X.CREDENTIAL_USES)})"
 
 
-@query("l11_credential_uses", f"SELECT DISTINCT file_id AS id, unnest({_USES}) AS credential_key FROM {S_TEXTS}")
+@query("l11_credential_uses", f"SELECT DISTINCT file_id AS id, unnest({_USES}) AS credential_key FROM {S_CODE}")
 def l11_credential_uses(spark, d):
-    return L.credential_uses(texts(spark, d), "file_id")
+    return L.credential_uses(code(spark, d), "file_id")
+
+
+_BARED = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+_SCRIPTS, _PYTHON = f"{S_LANG} IN ('javascript', 'typescript')", f"{S_LANG} = 'python'"
+S_LIBRARY = " UNION ALL ".join(
+    [
+        *[f"SELECT file_id AS id, 'pattern' AS library, {s(name)} AS name, '' AS detail FROM {S_CODE} WHERE {_unknown} AND {s_has('content', '(?i)' + '|'.join(f'(?:{p})' for p in patterns))}" for name, patterns in X.DESIGN.items()],
+        f"SELECT id, 'schema', name, CASE WHEN base = 'BaseModel' THEN 'pydantic' ELSE 'typed_dict' END FROM (SELECT file_id AS id, unnest({s_matches('content', X.MODEL_CLASS)}) AS name, unnest({s_matches('content', X.MODEL_BASE)}) AS base FROM {S_CODE} WHERE {_PYTHON})",
+        f"SELECT id, 'schema', g1, 'sqlite_table' FROM ({s_pairs(S_CODE, X.CREATE_TABLE, 1, _PYTHON)})",
+        f"SELECT id, 'schema', g1, 'ts_interface' FROM ({s_pairs(S_CODE, X.TS_INTERFACE, 1, _SCRIPTS)})",
+        f"SELECT DISTINCT id, 'endpoint', g2, upper(g1) FROM ({s_pairs(S_CODE, X.ENDPOINT, 2, _unknown)})",
+        f"SELECT id, 'prompt', 'system_prompt', substring(b, 1, 1000) FROM (SELECT id, {_BARED.format(c='g1')} AS b FROM ({s_pairs(S_CODE, X.PROMPT, 1)})) WHERE length(b) > 50",
+        f"SELECT id, 'prompt', 'chat_system', substring(g1, 1, 1000) FROM ({s_pairs(S_CODE, X.CHAT_PROMPT, 1)})",
+        f"SELECT id, 'config', g1, substring({_BARED.format(c='g2')}, 1, 80) FROM ({s_pairs(S_CODE, X.CONSTANT, 2, _PYTHON)})",
+        f"SELECT id, 'config', g1, 'env_var' FROM ({s_pairs(S_CODE, X.ENVIRONMENT, 1, _unknown)})",
+        f"SELECT id, 'error', {_BARED.format(c='g1')}, substring({_BARED.format(c='g2')}, 1, 300) FROM ({s_pairs(S_CODE, X.PY_HANDLER, 2, _PYTHON)} UNION ALL {s_pairs(S_CODE, X.JS_HANDLER, 2, _SCRIPTS)})",
+        f"SELECT id, 'credential', credential_key, '' FROM (SELECT DISTINCT file_id AS id, unnest({_USES}) AS credential_key FROM {S_CODE})",
+        f"SELECT id, 'secret', secret_type, preview FROM ({S_SECRETS.format(source=S_CODE)})",
+    ]
+)
+
+
+@query("l12_all_but_functions", S_LIBRARY)
+def l12_all_but_functions(spark, d):
+    """Entries of all libraries over one read of the source files; functions need a syntax tree and have queries of their own."""
+    return L.extract_all(code(spark, d), "file_id")
+
+
+@query("l12_library_sizes", f"SELECT library, count(*) AS entries, count(DISTINCT id) AS files FROM ({S_LIBRARY}) GROUP BY library")
+def l12_library_sizes(spark, d):
+    return L.extract_all(code(spark, d), "file_id").groupBy("library").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("id").alias("files"))
 
 
 @query(
@@ -237,6 +275,30 @@ def m1_line_counts(spark, d):
     return L.line_counts(code(spark, d), "file_id")
 
 
+@query("m1_code_structure")
+def m1_code_structure(spark, d):
+    """Functions, classes and imports of source files, Python files by their syntax tree."""
+    return L.code_structure(code(spark, d), "file_id").select("id", F.array_join("functions", " ").alias("functions"), F.array_join("classes", " ").alias("classes"), F.array_join("imports", " ").alias("imports"), "has_async", "has_types", "has_docs")
+
+
+@query("a11_framework_counts")
+def a11_framework_counts(spark, d):
+    return L.framework_counts(L.code_structure(code(spark, d), "file_id"))
+
+
+@query("m2_json_settings")
+def m2_json_settings(spark, d):
+    """Dotted keys and depth of samples that are whole JSON."""
+    return L.json_settings(texts(spark, d), "file_id").select("id", F.array_join("keys", " ").alias("keys"), "depth", "has_env")
+
+
+@query("m4_assimilated")
+def m4_assimilated(spark, d):
+    """What is found in source files, settings and documents of fitting size, as many by kind."""
+    rows = texts(spark, d).unionByName(code(spark, d))
+    return L.assimilate(rows, "file_id").groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("keys")).alias("keys"))
+
+
 _S_KEYS = "CASE " + " ".join(f"WHEN {s_in('lower(extension)', e)} THEN " + (f"list_concat({', '.join(s_matches('content', p) for p in ps)})" if len(ps) > 1 else s_matches("content", ps[0])) for e, ps in L.CONFIG_KEYS.items()) + " END"
 S_CONFIG = f"SELECT file_id AS id, list_slice({_S_KEYS}, 1, 50) AS keys, {s_has('content', L.USES_ENVIRONMENT)} OR {s_in('lower(extension)', ('.env', '.conf'))} AS has_env FROM {S_TEXTS} WHERE {_S_KEYS} IS NOT NULL"
 

@@ -7,7 +7,7 @@ import json
 import re
 import sqlite3
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -23,6 +23,7 @@ SAMPLE_CHARACTERS, SIGNATURE_BYTES = 2048, 16
 #: Larger files are not sampled, and not hashed.
 SAMPLED_BELOW, HASHED_BELOW = 100 * 1024**2, 1024**3
 TEXT_FILES = set(X.MIME_BY_EXTENSION) - set(X.BINARY) - {".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx"} | {".tsx", ".jsx", ".r", ".m", ".swift", ".kt", ".lua", ".pl", ".rst", ".tex", ".conf", ".properties", ".reg", ".vbs", ".tf"}
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 WORD, SHEET = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -39,13 +40,36 @@ def docx_sample(path: Path) -> str:
     return " ".join(p for p in paragraphs if p.strip())[:SAMPLE_CHARACTERS]
 
 
+def pdf_sample(path: Path) -> str | None:
+    """The text of the first two pages, where a reader is installed."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        return None
+    return " ".join(page.extract_text() or "" for page in PdfReader(str(path)).pages[:2])[:SAMPLE_CHARACTERS]
+
+
+def active_sheet(z: zipfile.ZipFile) -> str:
+    """The name of the file with the sheet that is shown when a workbook is opened; the first one where the book doesn't say."""
+    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+    try:
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        at = int(next((v.get("activeTab") or 0 for v in book.iter(f"{SHEET}workbookView")), 0))
+        link = [s.get(f"{RELATION}id") for s in book.iter(f"{SHEET}sheet")][at]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        named = targets[link].lstrip("/")
+        named = named if named.startswith("xl/") else f"xl/{named}"
+        return named if named in z.namelist() else sheets[0]
+    except (KeyError, IndexError, ValueError, ElementTree.ParseError):
+        return sheets[0]
+
+
 def xlsx_sample(path: Path) -> str:
-    """Header and ten rows of the first sheet."""
+    """Header and ten rows of the active sheet."""
     with zipfile.ZipFile(path) as z:
         names = z.namelist()
         shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{SHEET}si")]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        rows = list(ElementTree.fromstring(z.read(sheet)).iter(f"{SHEET}row"))[:11]
+        rows = list(ElementTree.fromstring(z.read(active_sheet(z))).iter(f"{SHEET}row"))[:11]
 
     def cell(c) -> str | None:
         v = c.find(f"{SHEET}v")
@@ -57,9 +81,20 @@ def xlsx_sample(path: Path) -> str:
 
 
 def sqlite_sample(path: Path) -> str:
+    return f"Tables: {', '.join(sqlite_tables(path)[:10])}"
+
+
+def sqlite_tables(path: Path) -> list[str]:
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        tables = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
-    return f"Tables: {', '.join(tables[:10])}"
+        return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
+
+
+def sqlite_columns(path: Path) -> list[str]:
+    """Names of the tables, and of the columns of the first five."""
+    tables = sqlite_tables(path)
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        columns = [r[0] for t in tables[:5] for r in db.execute("SELECT name FROM pragma_table_info(?)", (t,))]
+    return tables + columns
 
 
 def sample(path: Path) -> str | None:
@@ -70,6 +105,8 @@ def sample(path: Path) -> str | None:
         return xlsx_sample(path)
     if ext in (".db", ".sqlite", ".sqlite3"):
         return sqlite_sample(path)
+    if ext == ".pdf":
+        return pdf_sample(path)
     return text_sample(path) if ext in TEXT_FILES else None
 
 
@@ -95,30 +132,60 @@ def json_depth(data: object) -> int:
     return 1 + json_depth(data[0]) if isinstance(data, list) and data else 0
 
 
-def _json_facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            try:
-                data = json.loads(text)
-            except (ValueError, RecursionError):
-                continue
-            rows.append((i, json_keys(data), json_depth(data)))
-        c = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.list_(pa.string())), pa.array(c[2], pa.int32())], names=["id", "keys", "depth"])
+def dotted_keys(data: object, prefix: str = "", most: int = 100) -> list[str]:
+    """Keys of nested objects with those above them, ``a.b``; of lists those of the first item, ``a[0].b``; at most ``most`` of any value."""
+    keys: list[str] = []
+    if isinstance(data, dict):
+        for name, value in data.items():
+            at = f"{prefix}.{name}" if prefix else str(name)
+            keys += [at, *dotted_keys(value, at, most)] if isinstance(value, dict | list) else [at]
+    elif isinstance(data, list) and data:
+        keys += dotted_keys(data[0], f"{prefix}[0]", most)
+    return keys[:most]
+
+
+def nesting(data: object) -> int:
+    """Levels of objects and lists around the innermost value; an empty one adds none."""
+    inside = list(data.values()) if isinstance(data, dict) else data[:1] if isinstance(data, list) else []
+    return 1 + max(map(nesting, inside)) if inside else 0
+
+
+def _json_facts(keys_of: Callable[[object], list[str]], depth_of: Callable[[object], int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    data = json.loads(text)
+                    rows.append((i, keys_of(data), depth_of(data)))
+                except (ValueError, RecursionError):
+                    continue
+            c = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.list_(pa.string())), pa.array(c[2], pa.int32())], names=["id", "keys", "depth"])
+
+    return run
 
 
 def json_facts(rows: DataFrame, id: str, text: str) -> DataFrame:
     """(id, keys, depth) of texts that are JSON; others give no rows."""
+    return _json_rows(rows, id, text, json_keys, json_depth)
+
+
+def json_paths(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, keys, depth) of texts that are JSON with dotted keys; others give no rows."""
+    return _json_rows(rows, id, text, dotted_keys, nesting)
+
+
+def _json_rows(rows: DataFrame, id: str, text: str, keys_of: Callable[[object], list[str]], depth_of: Callable[[object], int]) -> DataFrame:
     source = rows.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return source.mapInArrow(_json_facts, "id long, keys array<string>, depth int")
+    return source.mapInArrow(_json_facts(keys_of, depth_of), "id long, keys array<string>, depth int")
 
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            p, signature, sha, xx, text, error = Path(path), None, None, None, None, None
+            p, signature, sha, xx, text, error, names = Path(path), None, None, None, None, None, None
             try:
                 with open(p, "rb") as f:
                     signature = f.read(SIGNATURE_BYTES).hex()
@@ -131,19 +198,20 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         sha, xx = a.hexdigest(), b.hexdigest()
                 if size < SAMPLED_BELOW:
                     text = sample(p)
+                    names = sqlite_columns(p) if p.suffix.lower() in (".db", ".sqlite", ".sqlite3") else None
             except Exception as e:  # one unreadable file must not end the task
                 error = type(e).__name__
-            rows.append((path, signature, sha, xx, text, error))
-        columns = list(zip(*rows)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "file_signature", "sha256", "xxhash", "content_sample", "error"])
+            rows.append((path, signature, sha, xx, text, error, names))
+        columns = list(zip(*rows)) if rows else [()] * 7
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:6]], pa.array(columns[6], pa.list_(pa.string()))], names=["path", "file_signature", "sha256", "xxhash", "content_sample", "error", "stored_names"])
 
 
 def sampled(tree: DataFrame) -> DataFrame:
     """The files of a tree with signature, hashes, sample, type, domain and an id that stays the same for a path.
 
-    A file that can't be read keeps its row, with the kind of error.
+    A file that can't be read keeps its row, with the kind of error. ``stored_names``: tables and columns of a database.
     """
-    found = tree.select("path", "size_bytes").mapInArrow(_sampled, "path string, file_signature string, sha256 string, xxhash string, content_sample string, error string")
+    found = tree.select("path", "size_bytes").mapInArrow(_sampled, "path string, file_signature string, sha256 string, xxhash string, content_sample string, error string, stored_names array<string>")
     rows = tree.join(found, "path").withColumn("mime_type", P.mime(F.col("file_signature"), F.col("extension")))
     rows = rows.withColumn("is_binary", P.is_binary(F.col("extension"), F.col("mime_type")).cast("int")).withColumn("x", P.domain(F.col("extension"), F.col("path"), F.col("content_sample")))
     return rows.select(F.xxhash64("path").alias("id"), "*", F.col("x.domain").alias("detected_domain"), F.col("x.confidence").alias("domain_confidence")).drop("x")

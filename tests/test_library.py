@@ -18,7 +18,7 @@ def test_python_functions(spark):
     text = "def sample(a: int, /, b: str='x', *args: float, c: bool, **kwargs: object) -> None:\n    'Doc.'\n    return 1\n\nasync def two():\n    try:\n        pass\n    except E:\n        pass\n"
     out = {r["name"]: r for r in L.python_functions(code(spark, (".py", text), (".py", "def broken("), (".js", "x"), (".py", text)), "file_id").collect() if r["id"] == 1}
     s = out["sample"]
-    assert s["signature"] == "def sample(a: int, /, b: str, *args: float, c: bool, **kwargs: object) -> None" and s["arg_count"] == 1 and s["docstring"] == "Doc." and s["line_number"] == 1
+    assert s["signature"] == "def sample(a: int, /, b: str, *args: float, c: bool, **kwargs: object) -> None" and s["arg_count"] == 5 and s["docstring"] == "Doc." and s["line_number"] == 1
     assert s["quality"] == 25 + 15 + 20 + 5 and out["two"]["is_async"] and out["two"]["quality"] == 5 + 10 + 10
     copies = L.copy_counts(L.python_functions(code(spark, (".py", text), (".py", text)), "file_id"))
     assert sorted((r["name"], r["copies"]) for r in copies.collect()) == [("sample", 2), ("two", 2)]
