@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import spread
 from .fixed import STOPWORDS
@@ -64,18 +69,29 @@ def tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[a-z_][a-z0-9_]*$"))
 
 
-def top_keywords(df: DataFrame, id: str, text: str, limit: int = KEYWORD_LIMIT) -> DataFrame:
-    """(id, keywords): the most frequent identifiers of each text without stop words and short ones, ties by first occurrence.
+_RUNS, _IDENTIFIER, _STOPPED = re.compile(r"\w+").findall, re.compile("[a-z_][a-z0-9_]*").fullmatch, frozenset(STOPWORDS)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _keywords(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts.to_pylist():
+        seen = Counter(w for w in _RUNS(text or "") if len(w) >= 3 and w not in _STOPPED and _IDENTIFIER(w))
+        out.append([w for w, _ in seen.most_common(KEYWORD_LIMIT)])
+    return pa.array(out, pa.list_(pa.string()))
+
 
-    Texts without any keep an empty list. Tokens are counted before they are ranked, so a long text is no large group.
+def keywords(c: Column) -> Column:
+    """The fifty most frequent identifiers of a text (as ``tokens`` has them) without stop words and short ones, ties by first occurrence.
+
+    They are counted within the row, in Arrow batches: nothing is shuffled, and a text needs no more than itself.
     """
-    base = spread(df.select(F.col(id).alias("id"), F.col(text).alias("t")), "id")
-    token = base.select("id", F.posexplode(tokens(F.col("t"))).alias("pos", "w")).where((F.length("w") >= 3) & ~F.col("w").isin(*STOPWORDS))
-    counted = token.groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))
-    top = counted.withColumn("place", place).where(F.col("place") <= limit)
-    listed = top.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]).alias("keywords"))
-    return base.select("id").join(listed, "id", "left").select(F.col("id").alias(id), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return _keywords(F.lower(c))
+
+
+def top_keywords(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, keywords) of each row; a text without any, or a null one, has an empty list."""
+    return spread(df.select(id, text), id).select(id, keywords(F.col(text)).alias("keywords"))
 
 
 def code_keywords(c: Column, general: Column) -> Column:

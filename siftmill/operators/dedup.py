@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files as P
@@ -16,7 +18,9 @@ from ..session import spread, stored
 C = F.col
 
 #: Undecided nodes and links that one task decides at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
+#: The most frequent words, whose order decides which words of a set are its prefix.
+RANKED_WORDS = 100_000
 
 
 # Strategies: what a file of a cluster is ordered by, greatest first; ties go to the smallest id.
@@ -100,10 +104,10 @@ def overlap_links(docs: DataFrame, block: str, id: str, keywords: str, threshold
     hashed = sets.withColumn("h", F.xxhash64("block", "k")).withColumn("h2", F.md5(F.array_join("k", " ")))
     classes = stored(hashed.groupBy("block", "h", "h2").agg(F.min("id").alias("class_id"), F.first("k").alias("k")), "overlap-classes")
     member = hashed.select("block", "h", "h2", "id").join(classes.select("block", "h", "h2", "class_id"), ["block", "h", "h2"]).select("block", "class_id", "id")
-    word = classes.select("block", "class_id", F.size("k").alias("n"), F.explode("k").alias("w"))
-    frequency = word.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    ordered = word.join(frequency, "w").groupBy("class_id", "block", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
-    prefix = ordered.select("block", "class_id", "n", F.explode(F.slice("ws", F.lit(1), (C("n") - F.ceil(C("n") * threshold) + 1).cast("int"))).alias("x")).select("block", "class_id", "n", C("x.w").alias("w"))
+    counted = classes.select(F.explode("k").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    # any order of all words is right, one from rare to frequent is fast; a bounded list of the frequent ones suffices for it
+    frequent = [r["w"] for r in counted.where("f > 1").orderBy(F.desc("f"), "w").limit(RANKED_WORDS).collect()]
+    prefix = classes.select("block", "class_id", F.size("k").alias("n"), F.explode(_prefix(classes.sparkSession, frequent, threshold)(C("k"))).alias("w"))
     a, b = (prefix.select(*[C(c).alias(f"{c}_{x}") for c in ("class_id", "n")], "block", "w") for x in "ab")
     met = a.join(b, ["block", "w"]).where((C("class_id_a") < C("class_id_b")) & (C("n_a") >= C("n_b") * threshold) & (C("n_b") >= C("n_a") * threshold))
     pairs = met.select("block", C("class_id_a").alias("class_a"), C("class_id_b").alias("class_b")).distinct()
@@ -112,6 +116,59 @@ def overlap_links(docs: DataFrame, block: str, id: str, keywords: str, threshold
     return member, stored(links, "overlap-links")
 
 
+def _prefix(spark: SparkSession, frequent: list[str], threshold: float):
+    """A column function: the first ``n - ceil(threshold * n) + 1`` of n words, those that aren't frequent first, then from rare to frequent."""
+    ranks = spark.sparkContext.broadcast({w: -i for i, w in enumerate(frequent)})
+
+    @F.arrow_udf("array<string>")
+    def prefix(sets: pa.Array) -> pa.Array:
+        place, lowest = ranks.value, -len(ranks.value)
+        out = []
+        for words in sets.to_pylist():
+            kept = len(words) - math.ceil(threshold * len(words)) + 1
+            out.append(sorted(words, key=lambda w: (place.get(w, lowest), w))[:kept])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return prefix
+
+
+def _in_order(links: list[tuple[int, int]], nodes: set[int]) -> list[tuple[int, int]]:
+    """(node, seed) of all nodes, taken one by one in the order of their ids."""
+    later: dict[int, list[int]] = {}
+    for u, v in links:
+        later.setdefault(u, []).append(v)
+    seed_of: dict[int, int] = {}
+    for n in sorted(nodes):
+        if n not in seed_of:
+            seed_of[n] = n
+            for v in later.get(n, ()):
+                seed_of.setdefault(v, n)
+    return list(seed_of.items())
+
+
+def first_stars_by_block(links: DataFrame, block: str, a: str, b: str, at_once: int = AT_ONCE) -> DataFrame:
+    """``first_stars`` of links that lie within blocks: blocks of at most ``at_once`` links are decided in a task each, all at
+    the same time; only larger ones go through rounds.
+    """
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _in_order(list(zip(pdf["u"], pdf["v"])), {*pdf["u"], *pdf["v"]})
+        return pd.DataFrame(found, columns=["node", "seed"], dtype="int64")
+
+    rows = links.select(C(block).alias("block"), C(a).cast("long").alias("u"), C(b).cast("long").alias("v"))
+    large = [r["block"] for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(C("n") > at_once).select("block").limit(LARGE_BLOCKS + 1).collect()]
+    if not large:
+        return rows.groupBy("block").applyInPandas(decide, "node long, seed long")
+    if len(large) > LARGE_BLOCKS:
+        return first_stars(rows, "u", "v")
+    small = rows.where(~C("block").isin(large)).groupBy("block").applyInPandas(decide, "node long, seed long")
+    return small.unionByName(first_stars(rows.where(C("block").isin(large)), "u", "v"))
+
+
+#: Large blocks that are named in a condition; where there are more, all links go through rounds.
+LARGE_BLOCKS = 1_000
+
+
 def first_stars(links: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame:
     """(node, seed): every linked node goes to the first seed that it is linked to, in the order of the ids.
 
@@ -122,16 +179,8 @@ def first_stars(links: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame
     """
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        later: dict[int, list[int]] = {}
-        for u, v in zip(pdf["u"], pdf["v"]):
-            later.setdefault(u, []).append(v)
-        gone: set[int] = set()
-        first = []
-        for n in sorted(set(pdf["u"]) | set(pdf["v"])):
-            if n not in gone:
-                first.append(n)
-                gone.update(later.get(n, ()))
-        return pd.DataFrame({"n": first}, dtype=pdf["u"].dtype)
+        found = _in_order(list(zip(pdf["u"], pdf["v"])), {*pdf["u"], *pdf["v"]})
+        return pd.DataFrame({"n": [n for n, seed in found if n == seed]}, dtype=pdf["u"].dtype)
 
     edges = stored(links.select(C(a).alias("u"), C(b).alias("v")).distinct(), "stars-edges")  # u < v
     open_ = edges
@@ -163,7 +212,7 @@ def semantic_keys(files: DataFrame, classifications: DataFrame, threshold: float
     block = F.concat_ws(":", "b.domain", "b.topic")
     docs = spread(files.select("id", "content_sample"), "id").join(best.select(C("file_id").alias("id"), block.alias("block")), "id").select("id", "block", T.keyword_set(F.coalesce(C("content_sample"), F.lit(""))).alias("k"))
     member, links = overlap_links(docs, "block", "id", "k", threshold)
-    stars = first_stars(links, "class_a", "class_b").select(C("node").alias("class_id"), "seed")
+    stars = first_stars_by_block(links, "block", "class_a", "class_b").select(C("node").alias("class_id"), "seed")
     keyed = member.join(stars, "class_id", "left").select("id", F.concat(F.lit("sem:"), "block", F.lit(":"), F.coalesce("seed", "class_id").cast("string")).alias("cluster"))
     return files.join(keyed, "id")
 

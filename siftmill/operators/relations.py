@@ -47,30 +47,35 @@ def anchors(text: Column) -> Column:
 
 
 def references(files: DataFrame) -> DataFrame:
-    """Files whose text names another file (in any letter case, five characters or more) to every file of that name.
+    """Files whose text names another file to every file of that name: the ``mentions``, once for each file."""
+    named = files.select(C("id").alias("target"), F.lower("filename").alias("name"))
+    return mentions(files).join(named, "name").where("source <> target").select(*edges(C("source"), C("target"), "references"))
+
+
+def mentions(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(source, name): names of other files (in lower case, five characters or more) that occur in a text in any letter case.
 
     A name can only occur where its last dot and what surrounds it occur, so names and texts are joined on these few
     characters and compared in full after that: no pair that doesn't share them is ever made. Names of fewer than sixteen
     characters before the dot use what there is; names without a dot meet texts on their first five characters.
     """
-    named = files.select("id", F.lower("filename").alias("name")).where(F.length("name") >= SHORTEST_NAME)
-    names = named.select("name").distinct()
-    texts = spread(files.where(F.length("content_sample") > 0).select("id", "content_sample", "filename"), "id").select(C("id").alias("source"), F.lower("content_sample").alias("text"), F.lower("filename").alias("own"))
+    names = files.select(F.lower("filename").alias("name")).where(F.length("name") >= SHORTEST_NAME).distinct()
+    texts = spread((files if texts is None else texts).where(F.length("content_sample") > 0).select("id", "content_sample", "filename"), "id").select(C("id").alias("source"), F.lower("content_sample").alias("text"), F.lower("filename").alias("own"))
 
     stem, ext = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1), F.regexp_extract("name", r"\.([^.]*)$", 1)
     last = F.substring_index(stem, ".", -1)
     dotted = names.where(C("name").contains(".")).select("name", F.substring(last, -BEFORE_DOT, BEFORE_DOT).alias("before"), F.substring(ext, 1, BEHIND_DOT).alias("behind"), (F.length(last) >= BEFORE_DOT).alias("full"))
     spots = texts.where(C("text").contains(".")).select("source", F.explode(F.array_distinct(anchors(C("text")))).alias("x")).select("source", "x.before", "x.behind")
-    # a short part before the dot may follow anything, and nothing may stand behind it: all shorter ends are offered
-    ends = spots.select("source", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BEFORE_DOT)), lambda k: F.right("before", k))).alias("before"), "behind")
+    # a short part before the dot may follow anything, and nothing may stand behind it: the ends that some name has are offered
+    lengths = sorted(r["n"] for r in dotted.select(F.length("before").alias("n")).distinct().collect())
+    ends = spots.select("source", F.explode(F.array_distinct(F.array(*[F.right("before", F.lit(n)) if n else F.lit("") for n in lengths or [0]]))).alias("before"), "behind")
     ends = ends.select("source", "before", F.explode(F.array_distinct(F.array("behind", F.lit("")))).alias("behind"))
     met = ends.join(dotted, ["before", "behind"]).select("source", "name")
     plain = names.where(~C("name").contains(".")).select("name", F.substring("name", 1, SHORTEST_NAME).alias("gram"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - SHORTEST_NAME + 1)), lambda i: F.substring(C("text"), i, F.lit(SHORTEST_NAME)))
     if not plain.isEmpty():
         met = met.unionByName(texts.select("source", F.explode(F.array_distinct(grams)).alias("gram")).join(plain, "gram").select("source", "name"))
-    sure = met.distinct().join(texts, "source").where(C("text").contains(C("name")) & ((C("name") != C("own")) | C("own").isNull())).select("source", "name")
-    return sure.join(named.withColumnRenamed("id", "target"), "name").where("source <> target").select(*edges(C("source"), C("target"), "references"))
+    return met.distinct().join(texts, "source").where(C("text").contains(C("name")) & ((C("name") != C("own")) | C("own").isNull())).select("source", "name")
 
 
 def depends_on(files: DataFrame, found: Column) -> DataFrame:
@@ -104,6 +109,39 @@ def supersedes(files: DataFrame, classifications: DataFrame) -> DataFrame:
     return each.join(newest, ["domain", "stem"]).where("at > modified_at").select(*edges(C("newest"), C("id"), "supersedes"))
 
 
+def in_degrees(files: DataFrame, found_imports: Column) -> DataFrame:
+    """(file_id, references): how many files name or import each file. Names are counted before they meet their files."""
+    named = mentions(files).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    by_name = files.select("id", F.lower("filename").alias("name")).join(named, "name").select("id", "n")
+    imported = depends_on(files, found_imports).select(C("target_id").alias("id"), "source_id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return by_name.unionByName(imported).groupBy("id").agg(F.sum("n").alias("references")).select(C("id").alias("file_id"), "references")
+
+
+def edges_of(files: DataFrame, classifications: DataFrame, found_imports: Column, id: int) -> DataFrame:
+    """All edges from and to one file, each relation made of the rows that can have a part in it only. ``id`` is one file's."""
+    columns = ["source_id", "target_id", "kind", "confidence"]
+    digest, stem, name, place = P.digest(C("sha256")), P.version_stem(C("filename")), F.lower("filename"), C("parent_dir")
+    own = files.where(C("id") == id)
+    me = own.select(digest.alias("digest"), stem.alias("stem"), name.alias("name"), place.alias("place")).first()
+    if me is None:
+        return duplicates(files.limit(0))
+    around = files.where(stem == me["stem"])
+    topic = F.concat_ws(":", "domain", "topic")
+    shared = classifications.withColumn("__t", topic).join(classifications.where(C("file_id") == id).select(topic.alias("__t")).distinct(), "__t", "left_semi").drop("__t")
+    rated = classifications.join(around.select(C("id").alias("file_id")), "file_id", "left_semi")
+    text = F.lower("content_sample")
+    naming = files.where((name.isNull() | (name != me["name"])) & text.contains(F.lit(me["name"]))) if len(me["name"] or "") >= SHORTEST_NAME else files.limit(0)
+    named = mentions(files, own).join(files.select(C("id").alias("target"), name.alias("name")), "name").where("source <> target")
+    parts = [
+        duplicates(files.where(digest == me["digest"])), versioned(around), depends_on(files.where(place == me["place"]), found_imports).select(*columns), co_classified(shared).select(*columns), supersedes(around, rated),
+        naming.where(C("id") != id).select(*edges(C("id"), F.lit(id).cast("long"), "references")), named.select(*edges(C("source"), C("target"), "references")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where((C("source_id") == id) | (C("target_id") == id))
+
+
 def all_relations(files: DataFrame, classifications: DataFrame, found_imports: Column) -> DataFrame:
     columns = ["source_id", "target_id", "kind", "confidence"]
     parts = [duplicates(files), versioned(files), references(files), depends_on(files, found_imports).select(*columns), co_classified(classifications).select(*columns), supersedes(files, classifications)]

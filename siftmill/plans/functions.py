@@ -50,7 +50,7 @@ FROM code_files c JOIN {s_keywords('code_files', 'file_id', 'content')} k ON k.f
 )
 def f4_code_keywords(spark, d):
     code = table(spark, d, "code_files").select("file_id", "content").where("content is not null")
-    return code.join(T.top_keywords(code, "file_id", "content"), "file_id").select("file_id", F.array_join(T.code_keywords(C("content"), C("keywords")), " ").alias("keywords"))
+    return spread(code, "file_id").withColumn("keywords", T.keywords(C("content"))).select("file_id", F.array_join(T.code_keywords(C("content"), C("keywords")), " ").alias("keywords"))
 
 
 _BY_PATH, _BY_CONTENT = s_first("lower(path)", X.DOMAIN_BY_PATH), s_first("lower(content_sample)", X.DOMAIN_BY_CONTENT)
@@ -162,7 +162,7 @@ FROM files f JOIN {S_FILE_KEYWORDS} k ON k.id = f.id""",
 )
 def f17_query_text(spark, d):
     files = table(spark, d, "files").select("id", "content_sample", "filename", "extension")
-    return files.join(T.top_keywords(files, "id", "content_sample"), "id").select("id", P.query_text(C("content_sample"), C("keywords"), C("filename"), C("extension")).alias("query"))
+    return spread(files, "id").withColumn("keywords", T.keywords(C("content_sample"))).select("id", P.query_text(C("content_sample"), C("keywords"), C("filename"), C("extension")).alias("query"))
 
 
 _S_WORD = s_first("lower(path)", X.PRIORITY_BY_PATH.items(), lambda c, p: f"contains({c}, {s(p)})")
@@ -250,8 +250,7 @@ def kl_local_classification(spark, d):
     """One row for each file from what the sampler has found out."""
     from ..operators.classify import local_classification
 
-    files = table(spark, d, "files")
-    return local_classification(files.join(T.top_keywords(files, "id", "content_sample"), "id"))
+    return local_classification(spread(table(spark, d, "files"), "id").withColumn("keywords", T.keywords(C("content_sample"))))
 
 
 _RAW = s(P.ABSOLUTE_PATH)

@@ -45,7 +45,7 @@ def scan(spark: SparkSession, roots: list[str], scan_id: int, as_of: str, profil
     if known is not None:
         found = history.changed(found, known)
     files = stored(sampled(found).withColumn("scan_id", F.lit(scan_id).cast("long")), "scan-files")
-    local = classify.local_classification(files.join(T.top_keywords(files, "id", "content_sample"), "id"))
+    local = classify.local_classification(files.withColumn("keywords", T.keywords(C("content_sample"))))
     answers = stored(local.withColumn("id", C("file_id")).withColumn("scan_id", F.lit(scan_id).cast("long")), "scan-classes")
     out = Scan(files, answers)
     keyed = dedup.exact_keys(files)

@@ -82,7 +82,16 @@ def r7_relation_counts(spark, d):
     return _all(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
 
 
+@query("r3_mentions", f"""SELECT f.id AS source_id, n.name, n.files FROM (SELECT id, lower(content_sample) AS t, lower(filename) AS own FROM files WHERE length(content_sample) > 0) f
+JOIN (SELECT lower(filename) AS name, count(*) AS files FROM files WHERE length(filename) >= 5 GROUP BY 1) n ON contains(f.t, n.name) AND (n.name <> f.own OR f.own IS NULL)""")
+def r3_mentions(spark, d):
+    """The names that occur in texts, with how many files have them: a row for each text and name, however common the name is."""
+    files = table(spark, d, "files")
+    named = files.groupBy(F.lower("filename").alias("name")).agg(F.count(F.lit(1)).alias("files"))
+    return R.mentions(files).join(named, "name").select(C("source").alias("source_id"), "name", "files")
+
+
 @query("j8_edges_of_file", f"SELECT * FROM ({S_ALL}) WHERE source_id = 7 OR target_id = 7")
 def j8_edges_of_file(spark, d):
     """All edges from and to one file."""
-    return _all(spark, d).where((C("source_id") == 7) | (C("target_id") == 7))
+    return R.edges_of(table(spark, d, "files"), table(spark, d, "classifications"), found(), 7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
@@ -77,7 +78,7 @@ def stored(df: DataFrame, name: str = "part", partition_by: list[str] | None = N
     Unlike a checkpoint the written table keeps column pruning and filter pushdown for its readers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siftmill/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -85,9 +86,28 @@ def stored(df: DataFrame, name: str = "part", partition_by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; removed when its driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _OWNED:
+        _OWNED.add(application)
+        atexit.register(_forget_quietly, spark)
+    return f"{shared_dir(spark).rstrip('/')}/siftmill/{application}"
+
+
+_OWNED: set[str] = set()
+
+
+def _forget_quietly(spark: SparkSession) -> None:
+    try:
+        forget(spark)
+    except Exception:  # the session has been stopped: the folder stays until it is cleared
+        pass
+
+
 def forget(spark: SparkSession) -> None:
-    """Remove all intermediate tables from the shared folder. No other run may be using it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/siftmill")
+    """Remove the intermediate tables of this application from the shared folder; those of other runs stay."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/siftmill/{spark.sparkContext.applicationId}")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
@@ -96,10 +116,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input that a core takes as it is; less makes fewer partitions than there are cores.
+BYTES_PER_CORE = 4 << 20
+
+
 def spread(df: DataFrame, by: str) -> DataFrame:
-    """``df`` over all cores where its input has fewer partitions than these, as a single small file has.
+    """``df`` over all cores where its input is so small that it comes in fewer partitions than these.
 
-    Inputs of many files come as they are: nothing is shuffled at scale.
+    Judged by the optimizer's estimate, so nothing is run for it; larger inputs come as they are and are never shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * BYTES_PER_CORE else df.repartition(cores, by)
