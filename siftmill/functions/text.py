@@ -42,7 +42,7 @@ def all_matches(c: Column, pattern: str, group: int = 1) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, everything but a-z, 0-9 and spaces as a space, spaces folded and trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
 def normalized_hash(c: Column) -> Column:

@@ -100,8 +100,9 @@ def overlap_links(docs: DataFrame, block: str, id: str, keywords: str, threshold
     (block, word), so neither a large block nor a frequent word makes a large group; what meets is compared in full.
     Returns classes (block, class_id, id) and links (class_a < class_b, similarity).
     """
-    sets = docs.select(C(block).alias("block"), C(id).alias("id"), F.array_sort(C(keywords)).alias("k")).where(F.size("k") > 0)
-    hashed = sets.withColumn("h", F.xxhash64("block", "k")).withColumn("h2", F.md5(F.array_join("k", " ")))
+    sets = docs.select(C(block).alias("block"), C(id).alias("id"), F.array_sort(C(keywords)).alias("k"))
+    # stored once and filtered after that, as a filter before would split the texts a second time
+    hashed = stored(sets.withColumn("h", F.xxhash64("block", "k")).withColumn("h2", F.md5(F.array_join("k", " "))), "overlap-sets").where(F.size("k") > 0)
     classes = stored(hashed.groupBy("block", "h", "h2").agg(F.min("id").alias("class_id"), F.first("k").alias("k")), "overlap-classes")
     member = hashed.select("block", "h", "h2", "id").join(classes.select("block", "h", "h2", "class_id"), ["block", "h", "h2"]).select("block", "class_id", "id")
     counted = classes.select(F.explode("k").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
@@ -207,23 +208,52 @@ def first_stars(links: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame
 
 
 def semantic_keys(files: DataFrame, classifications: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Files with the seed of their semantic cluster: same primary domain and topic, keyword overlap with the seed."""
+    """Files with their semantic cluster."""
+    return files.join(semantic_seeds(files, classifications, threshold), "id")
+
+
+def semantic_seeds(files: DataFrame, classifications: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, cluster) by the seed of the semantic cluster: same primary domain and topic, keyword overlap with the seed."""
     best = classifications.groupBy("file_id").agg(F.max(F.struct(F.coalesce(C("score"), F.lit(0.0)).alias("s"), (-C("id")).alias("o"), C("domain"), C("topic"))).alias("b"))
     block = F.concat_ws(":", "b.domain", "b.topic")
     docs = spread(files.select("id", "content_sample"), "id").join(best.select(C("file_id").alias("id"), block.alias("block")), "id").select("id", "block", T.keyword_set(F.coalesce(C("content_sample"), F.lit(""))).alias("k"))
     member, links = overlap_links(docs, "block", "id", "k", threshold)
     stars = first_stars_by_block(links, "block", "class_a", "class_b").select(C("node").alias("class_id"), "seed")
-    keyed = member.join(stars, "class_id", "left").select("id", F.concat(F.lit("sem:"), "block", F.lit(":"), F.coalesce("seed", "class_id").cast("string")).alias("cluster"))
-    return files.join(keyed, "id")
+    return member.join(stars, "class_id", "left").select("id", F.concat(F.lit("sem:"), "block", F.lit(":"), F.coalesce("seed", "class_id").cast("string")).alias("cluster"))
 
 
 def all_duplicates(files: DataFrame, classifications: DataFrame, strategy: str, threshold: float = 0.8) -> DataFrame:
     """(kind, cluster, file_count, keeper_id, wasted_bytes): exact, then near among the rest, then semantic among the rest."""
-    keyed = exact_keys(files)
+    return keyed_duplicates(files, classifications, strategy, threshold)[0]
+
+
+#: Columns that strategies look at.
+LOOKED_AT = ("id", "path", "sha256", "size_bytes", "modified_at", "accessed_at", "depth", "quality", "primary_domain")
+
+
+def keyed_duplicates(files: DataFrame, classifications: DataFrame, strategy: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The clusters of ``all_duplicates`` and their members (kind, cluster, file_id, is_keeper).
+
+    What the keys and strategies need is worked out in one pass and stored without the texts; only the semantic keys of what
+    is left read these again.
+    """
+    text = (F.length("content_sample") > 0) & (F.coalesce(C("is_binary"), F.lit(0)) == 0)
+    near_key = F.when(text, F.concat(F.lit("near:"), F.substring(T.normalized_hash(C("content_sample")), 1, 32)))
+    facts = stored(spread(files, "id").select(*[c for c in LOOKED_AT if c in files.columns], P.digest(C("sha256")).alias("exact_key"), near_key.alias("near_key")), "dedup-facts")
+
+    def without(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found.select(C("file_id").alias("id")), "id", "left_anti")
+
+    keyed = facts.where("exact_key is not null").withColumn("cluster", C("exact_key"))
     exact = stored(clusters(keyed, strategy), "dedup-exact")
-    rest = files.join(members(keyed, exact).select(C("file_id").alias("id")), "id", "left_anti")
-    keyed = near_keys(rest)
+    in_exact = members(keyed, exact)
+    rest = without(facts, in_exact)
+    keyed = rest.where("near_key is not null").withColumn("cluster", C("near_key"))
     near = stored(clusters(keyed, strategy, differing=True), "dedup-near")
-    rest = stored(rest.join(members(keyed, near).select(C("file_id").alias("id")), "id", "left_anti"), "dedup-rest")
-    semantic = clusters(semantic_keys(rest, classifications, threshold), strategy)
-    return exact.select(F.lit("exact").alias("kind"), "*").unionByName(near.select(F.lit("near").alias("kind"), "*")).unionByName(semantic.select(F.lit("semantic").alias("kind"), "*"))
+    in_near = members(keyed, near)
+    rest = stored(without(rest, in_near), "dedup-rest")
+    seeds = semantic_seeds(files.join(rest.select("id"), "id", "left_semi"), classifications, threshold)
+    keyed = rest.join(seeds, "id")
+    semantic = stored(clusters(keyed, strategy), "dedup-semantic")
+    parts = [(kind, found.select(F.lit(kind).alias("kind"), "*"), inside.select(F.lit(kind).alias("kind"), "*")) for kind, found, inside in (("exact", exact, in_exact), ("near", near, in_near), ("semantic", semantic, members(keyed, semantic)))]
+    return parts[0][1].unionByName(parts[1][1]).unionByName(parts[2][1]), parts[0][2].unionByName(parts[1][2]).unionByName(parts[2][2])

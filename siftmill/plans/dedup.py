@@ -21,7 +21,7 @@ def with_quality(spark, d, files=None):
     scores = table(spark, d, "intelligence_scores").groupBy("file_id").agg(F.max(F.struct("scored_at", "id", "quality_score", "primary_domain")).alias("m"))
     quality = F.when(~F.isnan("m.quality_score"), C("m.quality_score"))
     files = table(spark, d, "files") if files is None else files
-    return files.join(scores.select(C("file_id").alias("id"), quality.alias("quality"), C("m.primary_domain").alias("primary_domain")), "id", "left")
+    return spread(files, "id").join(scores.select(C("file_id").alias("id"), quality.alias("quality"), C("m.primary_domain").alias("primary_domain")), "id", "left")
 
 
 ORDERS = {

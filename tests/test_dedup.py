@@ -88,3 +88,24 @@ def test_long_chains_are_decided(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(700)], "a long, b long")
     got = {r["node"]: r["seed"] for r in D.first_stars(links, "a", "b", rounds=2).collect()}
     assert got == {i: i - i % 2 for i in range(701)}
+
+
+def test_blocks_are_decided_alike(spark):
+    """Blocks in tasks of their own, large blocks in rounds and all in rounds give the same; a chain of ten thousand links ends."""
+    rnd = random.Random(9)
+    rows = [(f"b{k}", k * 1000 + a, k * 1000 + b) for k in range(6) for a in range(30) for b in range(a + 1, 30) if rnd.random() < 0.12]
+    links = spark.createDataFrame(rows, "block string, a long, b long")
+    want = {(r["node"], r["seed"]) for r in D.first_stars(links, "a", "b").collect()}
+    for at_once in (10**6, sum(r[0] == "b1" for r in rows) - 1, 0):
+        assert {(r["node"], r["seed"]) for r in D.first_stars_by_block(links, "block", "a", "b", at_once).collect()} == want
+    chain = spark.createDataFrame([("x", i, i + 1) for i in range(10_000)], "block string, a long, b long")
+    got = {r["node"]: r["seed"] for r in D.first_stars_by_block(chain, "block", "a", "b").collect()}
+    assert got == {i: i - i % 2 for i in range(10_001)}
+
+
+def test_members_of_all_duplicates(spark):
+    same, near = "Some text of a file.", "some TEXT of a file"
+    df = files(spark, {"content_sample": same, "sha256": digest("a")}, {"content_sample": same, "sha256": digest("a")}, {"content_sample": near, "sha256": digest("b")}, {"content_sample": near + "!", "sha256": digest("c")}, {"content_sample": None, "sha256": None})
+    found, inside = D.keyed_duplicates(df, classes(spark), "keep_newest")
+    assert sorted((r["kind"], r["file_count"]) for r in found.collect()) == [("exact", 2), ("near", 2)]
+    assert sorted((r["kind"], r["file_id"], r["is_keeper"]) for r in inside.collect()) == [("exact", 1, True), ("exact", 2, False), ("near", 3, True), ("near", 4, False)]

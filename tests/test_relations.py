@@ -63,3 +63,19 @@ def test_supersedes(spark):
 def test_empty(spark):
     none = files(spark, {}).limit(0)
     assert R.all_relations(none, classes(spark), imports(F.col("content_sample"), F.col("extension"))).count() == 0
+
+
+def test_edges_of_one_file_and_in_degrees(spark):
+    df = files(
+        spark, {"filename": "alpha.py", "content_sample": "see beta_v1.py and gamma.txt", "sha256": digest("a")}, {"filename": "beta_v1.py", "content_sample": "import alpha\nalpha.py", "sha256": digest("b")}, {"filename": "beta_v2.py", "modified_at": "2026-02-28T00:00:00Z", "sha256": digest("a")},
+        {"filename": "gamma.txt", "content_sample": "alpha.py", "sha256": digest("c")}, {"filename": "gamma.txt", "parent_dir": r"O:\other", "sha256": digest("c")},
+    )
+    found = classes(spark, (1, "PROG", "a", 0.9), (2, "PROG", "a", 0.9), (2, "PROG", "b", 0.9), (3, "PROG", "b", 0.5), (1, "PROG", "b", 0.1), (1, "PROG", "c", 0.1), (2, "PROG", "c", 0.1))
+    imports = F.array(F.when(F.col("filename") == "beta_v1.py", "alpha"))
+    imports = F.array_compact(imports)
+    everything = R.all_relations(df, found, imports)
+    for i in range(1, 7):
+        want = sorted(map(tuple, everything.where(f"source_id = {i} or target_id = {i}").collect()))
+        assert sorted(map(tuple, R.edges_of(df, found, imports, i).collect())) == want and (want or i > 5)
+    got = {r["file_id"]: r["references"] for r in R.in_degrees(df, imports).collect()}
+    assert got == {1: 3, 2: 1, 4: 1, 5: 1}  # named by two and imported by one
