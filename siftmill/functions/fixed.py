@@ -193,6 +193,11 @@ PROJECTS = {
     "node_project": ("package.json", "*.js"), "documentation": ("README.md",),
 }
 
+# Domains that have an engine, quality above which a domain without one deserves it, open tasks.
+ENGINE_TIERS = tuple("LG LM TX PRB REG ENT SYN WAT GEO INT ET GS GOV DRL MECH AUTO AERO ENRG MED OFE RAIL FRAC PROD CHEM MARINE INS RE ACCT SCM TELE MINE FOOD VET FOREN LING MUSIC ARCH EE HVAC WELD NUC RENEW CRYPTO SPORT WEATHER ASTRO CYBER PROG FIN ENV".split())
+GOOD_QUALITY = 0.7
+OPEN_TASK = r"(?i)\b(TODO|FIXME|HACK|XXX)\b"
+
 # Folders of domains, order of severities, thresholds of the recommendations.
 DOMAIN_FOLDERS = ("TAX", "FIN", "LG", "CYBER", "MED", "PROG", "LM", "OIL")
 SEVERITIES = ("critical", "high", "medium", "low", "info")

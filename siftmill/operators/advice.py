@@ -158,8 +158,23 @@ def domain_summaries(scores: DataFrame, each: int = 5) -> DataFrame:
     return scores.withColumn("place", place).where(C("place") <= each).select("domain", C("place").cast("int").alias("place"), "file_id", "overall_score")
 
 
-def suggestions(stats: DataFrame, incomplete: DataFrame, most: int = 20) -> DataFrame:
-    """(subject, reason, weight): large domains without a project, and kinds of project that are often unfinished."""
-    large = stats.where((C("file_count") > 50) & ~C("domain").isin("PROG", "UNKNOWN")).select(C("domain").alias("subject"), F.when(C("file_count") > 200, "high").otherwise("medium").alias("reason"), C("file_count").alias("weight"))
-    unfinished = incomplete.groupBy(C("project").alias("subject")).agg(F.count(F.lit(1)).alias("weight")).where("weight >= 3").select("subject", F.lit("unfinished").alias("reason"), "weight")
-    return large.unionByName(unfinished).orderBy(F.desc("weight"), "subject").limit(most)
+def suggestions(stats: DataFrame, incomplete: DataFrame, files: DataFrame, most: int = 20) -> DataFrame:
+    """(subject, reason, priority, weight): domains with many files (dashboard) or good ones without an engine (engine), kinds of
+    project that are often unfinished, and many files with open tasks (debt). stats: domain, file_count, mean_quality.
+    """
+    subject, weight = C("domain").alias("subject"), C("file_count").alias("weight")
+    large = stats.where((C("file_count") > 50) & ~C("domain").isin("PROG", "UNKNOWN")).select(subject, F.lit("dashboard").alias("reason"), F.when(C("file_count") > 200, "high").otherwise("medium").alias("priority"), weight)
+    good = stats.where((C("mean_quality") > X.GOOD_QUALITY) & ~C("domain").isin(*X.ENGINE_TIERS)).select(subject, F.lit("engine").alias("reason"), F.lit("medium").alias("priority"), weight)
+    unfinished = incomplete.groupBy(C("project").alias("subject")).agg(F.count(F.lit(1)).alias("weight")).where("weight >= 3").select("subject", F.lit("unfinished").alias("reason"), F.lit("low").alias("priority"), "weight")
+    debt = files.where(T.has(C("content_sample"), X.OPEN_TASK)).agg(F.count(F.lit(1)).alias("weight")).where("weight > 20").select(F.lit("PROG").alias("subject"), F.lit("debt").alias("reason"), F.lit("medium").alias("priority"), "weight")
+    out = large.unionByName(good).unionByName(unfinished).unionByName(debt)
+    rank = F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), C("priority"))
+    return out.orderBy(rank, F.desc("weight"), "subject", "reason").limit(most)
+
+
+def all_proposals(files: DataFrame, domains: DataFrame, signatures: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(kind, subject, files, bytes, priority): everything that could be built or completed. domains: (id, domain); repeated: (name, files) of functions."""
+    out = domain_proposals(files, domains)
+    for part in (partial_projects(files, signatures), shared_library(repeated), orphaned_data(files), large_scripts(files, signatures)):
+        out = out.unionByName(part)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,33 @@ def latest_events(events: DataFrame, keys: Sequence[str], at: str, id: str) -> D
     """The last event of every key."""
     rest = [c for c in events.columns if c not in (*keys, at, id)]
     return events.groupBy(*keys).agg(F.max(F.struct(at, id, *rest)).alias("m")).select(*keys, f"m.{at}", f"m.{id}", *[f"m.{c}" for c in rest])
+
+
+#: An entry of the log of scans: scan, stage ("scan" for the scan itself), status, time, detail.
+Event = tuple[int, str, str, datetime, str | None]
+EVENTS = "scan_id long, stage string, status string, at timestamp, detail string"
+ENDS = ("completed", "cancelled", "failed")
+LONGEST_DETAIL = 1000
+
+
+def event(scan_id: int, stage: str, status: str, detail: str | None = None) -> Event:
+    return scan_id, stage, status, datetime.now(UTC), detail[:LONGEST_DETAIL] if detail else None
+
+
+def record(spark: SparkSession, path: str, events: Sequence[Event]) -> None:
+    """Append events to a log; nothing is ever changed in it."""
+    spark.createDataFrame(list(events), EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+
+def states(events: DataFrame) -> DataFrame:
+    """(scan_id, stage, status, started_at, completed_at, detail) of every stage; completed_at only where it has ended."""
+    ended = C("status").isin(*ENDS)
+    last = F.max(F.struct("at", ended.alias("ended"), "status", "detail"))
+    out = events.groupBy("scan_id", "stage").agg(F.min("at").alias("started_at"), last.alias("m"))
+    return out.select("scan_id", "stage", "m.status", "started_at", F.when(C("m.ended"), C("m.at")).alias("completed_at"), "m.detail")
+
+
+def with_status(rows: DataFrame, key: Sequence[str], changes: DataFrame, first: str = "open") -> DataFrame:
+    """Rows with the last status that ``changes`` (key, status, at) gives them, or ``first``."""
+    last = changes.groupBy(*key).agg(F.max(F.struct("at", "status")).alias("m")).select(*key, C("m.status").alias("status"))
+    return rows.drop("status").join(last, list(key), "left").withColumn("status", F.coalesce("status", F.lit(first)))

@@ -59,9 +59,9 @@ def unclassified(files: DataFrame, classifications: DataFrame) -> DataFrame:
 
 
 def file_details(files: DataFrame, scores: DataFrame, classifications: DataFrame, edges: DataFrame) -> DataFrame:
-    """Files with their score and the numbers of their classifications and edges."""
+    """Files with their score and the numbers of their classifications and edges of duplicates."""
     n = lambda rows, key, name: rows.groupBy(C(key).alias("id")).agg(F.count(F.lit(1)).alias(name))
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
     out = files.select("id", "filename", "size_bytes").join(scores.select(C("file_id").alias("id"), "overall_score", "risk_score"), "id", "left")
-    out = out.join(n(classifications, "file_id", "classifications"), "id", "left").join(n(ends, "id", "edges"), "id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("classifications", "edges")})
+    out = out.join(n(classifications, "file_id", "classifications"), "id", "left").join(n(ends, "id", "duplicate_edges"), "id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("classifications", "duplicate_edges")})

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..operators import advice, dedup, library
+from ..operators import advice, dedup, history, library
 from ..operators import relations as R
 from ..session import table
 from .catalog import query, s, s_contains, s_in
@@ -107,11 +109,7 @@ def repeated(spark, d):
 
 
 def proposals(spark, d):
-    f, x = files(spark, d), signatures(spark, d)
-    out = advice.domain_proposals(f, domain_of(spark, d))
-    for part in (advice.partial_projects(f, x), advice.shared_library(repeated(spark, d)), advice.orphaned_data(f), advice.large_scripts(f, x)):
-        out = out.unionByName(part)
-    return out
+    return advice.all_proposals(files(spark, d), domain_of(spark, d), signatures(spark, d), repeated(spark, d))
 
 
 @query("prop1_domains", S_DOMAINS)
@@ -192,22 +190,36 @@ def x2_incomplete_projects(spark, d):
     return advice.incomplete_projects(files(spark, d))
 
 
-_STATS = f"SELECT domain, count(*) AS n FROM ({_NAMED}) c JOIN files f ON f.id = c.file_id GROUP BY domain"
+_STATS = f"SELECT domain, count(*) AS n, avg(quality_score) FILTER (WHERE NOT isnan(quality_score)) AS q FROM (SELECT file_id, quality_score, coalesce(nullif(upper(trim(primary_domain)), ''), 'UNKNOWN') AS domain FROM ({S_CURRENT})) c JOIN files f ON f.id = c.file_id GROUP BY domain"
+S_SUGGESTIONS = f"""SELECT subject, reason, priority, weight FROM (
+SELECT domain AS subject, 'dashboard' AS reason, CASE WHEN n > 200 THEN 'high' ELSE 'medium' END AS priority, n AS weight FROM ({_STATS}) WHERE n > 50 AND domain NOT IN ('PROG', 'UNKNOWN')
+UNION ALL SELECT domain, 'engine', 'medium', n FROM ({_STATS}) WHERE q > {X.GOOD_QUALITY} AND NOT {s_in('domain', X.ENGINE_TIERS)}
+UNION ALL SELECT project, 'unfinished', 'low', count(*) FROM ({S_INCOMPLETE}) GROUP BY project HAVING count(*) >= 3
+UNION ALL SELECT 'PROG', 'debt', 'medium', count(*) FROM files WHERE regexp_matches(content_sample, {s(X.OPEN_TASK)}) HAVING count(*) > 20)
+ORDER BY list_position(['high', 'medium', 'low'], priority), weight DESC, subject, reason LIMIT 20"""
 
 
-@query("x3_suggestions", f"SELECT * FROM (SELECT domain AS subject, CASE WHEN n > 200 THEN 'high' ELSE 'medium' END AS reason, n AS weight FROM ({_STATS}) WHERE n > 50 AND domain NOT IN ('PROG', 'UNKNOWN') UNION ALL SELECT project, 'unfinished', count(*) FROM ({S_INCOMPLETE}) GROUP BY project HAVING count(*) >= 3) ORDER BY weight DESC, subject LIMIT 20")
+@query("x3_suggestions", S_SUGGESTIONS)
 def x3_suggestions(spark, d):
-    return advice.suggestions(domain_stats(spark, d), advice.incomplete_projects(files(spark, d)))
+    name = F.coalesce(F.nullif(F.upper(F.trim("primary_domain")), F.lit("")), F.lit("UNKNOWN"))
+    rated = scores(spark, d).join(files(spark, d).select(C("id").alias("file_id")), "file_id")
+    stats = rated.groupBy(name.alias("domain")).agg(F.count(F.lit(1)).alias("file_count"), F.avg(F.when(~F.isnan("quality_score"), C("quality_score"))).alias("mean_quality"))
+    return advice.suggestions(stats, advice.incomplete_projects(files(spark, d)), files(spark, d))
 
 
 @query(
     "q10_export_report",
     f"""SELECT 'domain' AS section, domain AS name, CAST(n AS BIGINT) AS value FROM (SELECT domain, count(*) AS n FROM ({_NAMED}) c JOIN files f ON f.id = c.file_id GROUP BY domain)
-UNION ALL SELECT 'recommendation', category, CAST(affected_count AS BIGINT) FROM ({S_RECOMMENDATIONS}) UNION ALL SELECT 'proposal', kind, count(*) FROM ({S_PROPOSALS}) GROUP BY kind UNION ALL SELECT 'scan', coalesce(status, ''), count(*) FROM scans GROUP BY 2""",
+UNION ALL SELECT 'recommendation', category, CAST(affected_count AS BIGINT) FROM ({S_RECOMMENDATIONS}) UNION ALL SELECT 'proposal', kind, count(*) FROM ({S_PROPOSALS}) GROUP BY kind UNION ALL SELECT 'scan', coalesce(status, ''), count(*) FROM scans GROUP BY 2
+UNION ALL SELECT 'stage', event_type, count(*) FROM (SELECT event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) GROUP BY event_type
+UNION ALL SELECT 'timeline', CAST(id AS VARCHAR), CAST(epoch_us(started_at) // 1000000 AS BIGINT) FROM (SELECT id, started_at FROM scans ORDER BY id DESC LIMIT 20)""",
 )
 def q10_export_report(spark, d):
     """What a report of the corpus says, as (section, name, value)."""
     line = lambda rows, section, name, value: rows.select(F.lit(section).alias("section"), F.col(name).alias("name"), F.col(value).cast("long").alias("value"))
     found = proposals(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     scans = table(spark, d, "scans").groupBy(F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return line(domain_stats(spark, d), "domain", "domain", "file_count").unionByName(line(advice.recommendations(hits(spark, d)), "recommendation", "category", "affected_count")).unionByName(line(found, "proposal", "kind", "n")).unionByName(line(scans, "scan", "status", "n"))
+    stages = history.latest_events(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    timeline = table(spark, d, "scans").orderBy(F.desc("id")).limit(20).select(C("id").cast("string").alias("name"), F.unix_seconds(C("started_at").cast("timestamp")).alias("value"))
+    parts = [line(domain_stats(spark, d), "domain", "domain", "file_count"), line(advice.recommendations(hits(spark, d)), "recommendation", "category", "affected_count"), line(found, "proposal", "kind", "n"), line(scans, "scan", "status", "n"), line(stages, "stage", "event_type", "n"), line(timeline, "timeline", "name", "value")]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -9,7 +9,7 @@ from ..operators import relations as R
 from ..session import table
 from .catalog import query, s
 from .dedup import S_EXACT, s_clusters
-from .relations import S_DUPLICATES
+from .relations import S_ALL, S_DUPLICATES, found
 
 C = F.col
 
@@ -206,7 +206,7 @@ def j7_search(spark, d):
 @query(
     "q9_file_details",
     f"""WITH e AS (SELECT unnest([source_id, target_id]) AS id FROM ({S_DUPLICATES}))
-SELECT f.id, f.filename, f.size_bytes, c.overall_score, c.risk_score, coalesce(k.n, 0) AS classifications, coalesce(x.n, 0) AS edges FROM files f LEFT JOIN ({S_CURRENT}) c ON c.file_id = f.id
+SELECT f.id, f.filename, f.size_bytes, c.overall_score, c.risk_score, coalesce(k.n, 0) AS classifications, coalesce(x.n, 0) AS duplicate_edges FROM files f LEFT JOIN ({S_CURRENT}) c ON c.file_id = f.id
 LEFT JOIN (SELECT file_id, count(*) AS n FROM classifications GROUP BY file_id) k ON k.file_id = f.id LEFT JOIN (SELECT id, count(*) AS n FROM e GROUP BY id) x ON x.id = f.id""",
 )
 def q9_file_details(spark, d):
@@ -226,3 +226,16 @@ def q11_scan_summaries(spark, d):
     seconds = ((F.unix_micros(C("completed_at").cast("timestamp")) - F.unix_micros(C("started_at").cast("timestamp"))) / 1e6).alias("seconds")
     out = table(spark, d, "scans").select(C("id").alias("scan_id"), "status", seconds).join(f, "scan_id", "left").join(k, "scan_id", "left").join(a4_score_summary(spark, d).select("scan_id", "scored", "mean_quality", "high_risk"), "scan_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("files", "bytes", "classified", "scored", "high_risk")})
+
+
+@query("q9_one_file", f"""SELECT f.id, f.filename, c.overall_score, (SELECT string_agg(domain || ':' || coalesce(topic, ''), ' ' ORDER BY k.id) FROM classifications k WHERE k.file_id = f.id) AS classifications,
+(SELECT string_agg(kind || ':' || source_id || '>' || target_id, ' ' ORDER BY kind, source_id, target_id) FROM ({S_ALL}) e WHERE e.source_id = f.id OR e.target_id = f.id) AS edges FROM files f LEFT JOIN ({S_CURRENT}) c ON c.file_id = f.id WHERE f.id = 7""")
+def q9_one_file(spark, d):
+    """One file with its score and lists of its classifications and edges of all kinds."""
+    rows, classifications = files(spark, d), table(spark, d, "classifications")
+    listed = lambda found_, text, *order: found_.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, text.alias("t")))), lambda x: x["t"]), " ").alias("x")).select(F.nullif("x", F.lit("")).alias("x"))
+    own = listed(classifications.where("file_id = 7"), F.concat("domain", F.lit(":"), F.coalesce("topic", F.lit(""))), "id")
+    edges = listed(R.edges_of(rows, classifications, found(), 7), F.concat("kind", F.lit(":"), C("source_id").cast("string"), F.lit(">"), C("target_id").cast("string")), "kind", "source_id", "target_id")
+    score = scores(spark, d).where("file_id = 7").select(C("file_id").alias("id"), "overall_score")
+    one = rows.where("id = 7").select("id", "filename").join(score, "id", "left")
+    return one.select("id", "filename", "overall_score", own.scalar().alias("classifications"), edges.scalar().alias("edges"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import relations as R
+from ..operators import scoring
 from ..session import table
-from .catalog import query, s
+from .catalog import AS_OF, query, s
 from .functions import S_LEAF_STEM, imports, s_imports, s_stem
-from .scores import s_digest
+from .scores import s_digest, s_scores_with_references
 
 C = F.col
 
@@ -95,3 +96,14 @@ def r3_mentions(spark, d):
 def j8_edges_of_file(spark, d):
     """All edges from and to one file."""
     return R.edges_of(table(spark, d, "files"), table(spark, d, "classifications"), found(), 7)
+
+
+S_REFERENCED = f"SELECT id, sum(n) AS n FROM (SELECT target_id AS id, count(*) AS n FROM ({S_REFERENCES}) GROUP BY 1 UNION ALL SELECT target_id, count(DISTINCT source_id) FROM ({S_DEPENDS}) GROUP BY 1) GROUP BY id"
+
+
+@query("c2_scores_with_references", s_scores_with_references(S_REFERENCED))
+def c2_scores_with_references(spark, d):
+    """All scores, importance with the number of files that name or import a file."""
+    files = table(spark, d, "files")
+    return scoring.score_files(files, table(spark, d, "classifications"), AS_OF, R.in_degrees(files, found()))
+

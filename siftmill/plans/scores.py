@@ -41,17 +41,15 @@ S_QUALITY = s_weighted(
         "completeness": f"{s_when((_THERE.format('content_sample'), 30.0))} + {s_when((_THERE.format('sha256'), 20.0))} + {s_when(('matches > 0', 30.0))} + {s_when((_THERE.format('mime_type'), 20.0))}",
     },
 )
-S_IMPORTANCE = s_weighted(
-    X.IMPORTANCE_WEIGHTS,
-    {
+IMPORTANCE = {
         "criticality": f"coalesce(criticality, {X.NO_CRITICALITY})",
         "authority": "least(100.0, coalesce(authority, 0))",
         "recency": s_ladder("days_accessed", scoring.RECENCY, 5.0),
         "references": "0.0",
         "uniqueness": s_when(("copies = 0", 100.0), ("copies = 1", 60.0), ("copies <= 3", 35.0), otherwise="10.0"),
         "depth": s_when(("depth <= 2", 100.0), ("depth <= 4", 70.0), ("depth <= 6", 40.0), otherwise="15.0"),
-    },
-)
+}
+S_IMPORTANCE = s_weighted(X.IMPORTANCE_WEIGHTS, IMPORTANCE)
 _N, _E, _P = "lower(filename)", "coalesce(lower(extension), '')", "lower(path)"
 S_SENSITIVITY = f"""round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, greatest(greatest({', '.join(s_when((s_has(_T, p), float(w))) for p, w in X.SENSITIVE.values())})::DOUBLE + coalesce(boost, 0.0),
 {s_when((s_in('lower(extension)', X.KEY_FILES), 90.0), (s_in('lower(extension)', X.DUMP_FILES), 40.0))}, {s_when((s_contains(_N, X.SECRET_NAMES), 85.0), (s_contains(_N, X.PERSONAL_NAMES), 80.0))}))) + 1e-9, 1)"""
@@ -85,6 +83,14 @@ def c_scores(spark, d):
     return scored(spark, d)
 
 
+def s_scores_with_references(references: str) -> str:
+    """S_SCORES in which importance knows of the files that name or import a file; references: (id, n) of the files that have any."""
+    counted = "least(100.0::DOUBLE, coalesce(refs.n, 0) * 15.0::DOUBLE)"
+    facts = S_FACTS.replace("fact AS (SELECT f.*,", f"refs AS ({references}), fact AS (SELECT f.*, {counted} AS referenced,").replace("LEFT JOIN cls ON", "LEFT JOIN refs ON refs.id = f.id LEFT JOIN cls ON")
+    importance = s_weighted(X.IMPORTANCE_WEIGHTS, IMPORTANCE | {"references": "referenced"})
+    return S_SCORES.replace(S_FACTS, facts).replace(S_IMPORTANCE, importance)
+
+
 @query("c8_domain_distribution", "SELECT file_id, domain, sum(CAST(coalesce(score, 0.0) AS DECIMAL(20,6)))::DOUBLE AS score FROM classifications GROUP BY ALL")
 def c8_domain_distribution(spark, d):
     return scoring.domain_distribution(table(spark, d, "classifications"))

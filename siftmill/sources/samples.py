@@ -215,3 +215,25 @@ def sampled(tree: DataFrame) -> DataFrame:
     rows = tree.join(found, "path").withColumn("mime_type", P.mime(F.col("file_signature"), F.col("extension")))
     rows = rows.withColumn("is_binary", P.is_binary(F.col("extension"), F.col("mime_type")).cast("int")).withColumn("x", P.domain(F.col("extension"), F.col("path"), F.col("content_sample")))
     return rows.select(F.xxhash64("path").alias("id"), "*", F.col("x.domain").alias("detected_domain"), F.col("x.confidence").alias("domain_confidence")).drop("x")
+
+
+#: Larger files are not read whole.
+READ_BELOW = 10 * 1024**2
+
+
+def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for path in batch.column(1).to_pylist():
+            try:
+                texts.append(Path(path).read_text(encoding="utf-8", errors="replace"))
+            except OSError:
+                texts.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file_id", "content"])
+
+
+def contents(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """(file_id, extension, content, size_bytes): the whole texts of files with some extensions; those that can't be read are left out."""
+    rows = files.where(F.lower("extension").isin(*extensions) & (F.col("size_bytes") < READ_BELOW)).select(F.col("id").alias("file_id"), "path", "extension", "size_bytes")
+    found = rows.select("file_id", "path").mapInArrow(_contents, "file_id long, content string")
+    return rows.drop("path").join(found.where("content is not null"), "file_id").select("file_id", "extension", "content", "size_bytes")

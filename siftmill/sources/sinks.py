@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,9 @@ def storage_summary(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def enough_room(path: str, least_gb: float = 5.0) -> bool:
     return shutil.disk_usage(path).free >= least_gb * 1024**3
+
+
+def audit(spark: SparkSession, path: str, action: str, **facts: object) -> None:
+    """Add one line of JSON to an audit log: what was done, when, and facts about it."""
+    row = json.dumps({"at": datetime.now(UTC).isoformat(), "action": action, **facts}, default=str, sort_keys=True)
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(path)

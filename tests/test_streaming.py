@@ -29,3 +29,15 @@ def test_breaker_on_a_stream(spark, tmp_path):
 def test_sliding_counts(spark):
     df = spark.createDataFrame([("a", 0), ("a", 30), ("a", 60), ("a", 61), ("b", 61)], "k string, s long").withColumn("at", F.timestamp_seconds("s"))
     assert [r["in_window"] for r in guards.sliding_counts(df, "k", "at").orderBy("k", "s").collect()] == [1, 2, 3, 3, 1]
+
+
+def test_named_streams_go_on(spark, tmp_path):
+    place = str(tmp_path / "in")
+    count = lambda: batches.stream_table(spark, place).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spark.createDataFrame([("a",), ("b",)], "k string").coalesce(1).write.mode("append").parquet(place)
+    batches.clear(spark, "counts")
+    assert {(r["k"], r["n"]) for r in batches.last_states(count(), "counts").collect()} == {("a", 1), ("b", 1)}
+    assert batches.last_states(count(), "counts").count() == 2  # nothing new
+    spark.createDataFrame([("a",)], "k string").coalesce(1).write.mode("append").parquet(place)
+    assert sorted((r["batch"], r["k"], r["n"]) for r in batches.last_states(count(), "counts").collect()) == [(0, "a", 1), (0, "b", 1), (1, "a", 2)]
+    batches.clear(spark, "counts")
