@@ -15,6 +15,8 @@ CONFIDENCE = {"duplicates": 1.0, "versioned": 0.85, "references": 0.7, "depends_
 #: Characters of a name before its last dot, and behind it, by which names meet texts.
 BEFORE_DOT, BEHIND_DOT = 16, 1
 SHORTEST_NAME = 5
+#: Characters of an instant's text up to its hour.
+HOUR = 13
 
 
 def edges(source: Column, target: Column, kind: str, confidence: Column | None = None) -> list[Column]:
@@ -33,8 +35,13 @@ def versioned(files: DataFrame) -> DataFrame:
     marks = [F.when(C("filename").rlike(p), F.lit(i)) for i, p in enumerate(X.VERSIONS)]
     each = files.select("id", F.coalesce("modified_at", F.lit("")).alias("at"), P.version_stem(C("filename")).alias("stem"), F.explode(F.array_compact(F.array(*marks))).alias("mark"))
     several = each.groupBy("stem", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("stem").agg(F.min("mark").alias("mark"))
-    after = F.lead("id").over(Window.partitionBy("stem").orderBy("at", "id"))
-    return each.join(several, ["stem", "mark"]).select("id", after.alias("next")).where("next is not null").select(*edges(C("id"), C("next"), "versioned"))
+    # a stem's chain is made within hours and then from each hour to the next, so a common stem isn't one group
+    rows = each.join(several, ["stem", "mark"]).select("id", "at", "stem", F.substring("at", 1, HOUR).alias("hour"))
+    within = F.lead("id").over(Window.partitionBy("stem", "hour").orderBy("at", "id"))
+    first = rows.groupBy("stem", "hour").agg(F.min(F.struct("at", "id")).alias("f"))
+    following = first.select("stem", "hour", F.lead("f.id").over(Window.partitionBy("stem").orderBy("hour")).alias("later"))
+    chained = rows.withColumn("next", within).join(following, ["stem", "hour"]).select("id", F.coalesce("next", "later").alias("next"))
+    return chained.where("next is not null").select(*edges(C("id"), C("next"), "versioned"))
 
 
 def anchors(text: Column) -> Column:

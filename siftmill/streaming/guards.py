@@ -12,10 +12,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FAILURES, OPEN_SECONDS = 10, 60.0
 
 
-def sliding_counts(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
-    """Each event with the number of events of its key in the ``seconds`` up to it, itself included."""
-    span = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(span))
+def sliding_counts(events: DataFrame, key: str, at: str, seconds: int = 60, stretch: int = 600) -> DataFrame:
+    """Each event with the number of events of its key in the ``seconds`` up to it, itself included.
+
+    Time is cut into stretches of ``stretch`` seconds (at least ``seconds``); the end of each is given to the next one too, so
+    a key with a third of all events is as many groups as it has stretches. Events without a time count among themselves.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    length = max(stretch, seconds) * 1_000_000
+    own = F.floor(micros / length)
+    late = own * length + length - micros <= seconds * 1_000_000
+    places = F.array_compact(F.array(F.struct(own.alias("part"), F.lit(True).alias("own")), F.when(late, F.struct((own + 1).alias("part"), F.lit(False).alias("own")))))
+    spread = events.withColumn("__at", micros).withColumn("__p", F.explode(places))
+    span = Window.partitionBy(key, "__p.part").orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
+    return spread.withColumn("in_window", F.count(F.lit(1)).over(span)).where("__p.own").drop("__at", "__p")
 
 
 def step(state: str, failures: int, open_until: float, at: float, failed: bool) -> tuple[str, int, float, bool]:

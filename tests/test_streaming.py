@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from siftmill.streaming import batches, guards
@@ -31,6 +33,16 @@ def test_sliding_counts(spark):
     assert [r["in_window"] for r in guards.sliding_counts(df, "k", "at").orderBy("k", "s").collect()] == [1, 2, 3, 3, 1]
 
 
+def test_sliding_counts_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("aaab"), rnd.randrange(1500), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, s long, id long").withColumn("at", F.timestamp_seconds("s"))
+    want = {i: sum(k == x and s - 60 <= t <= s for x, t, _ in rows) for k, s, i in rows}
+    for stretch in (60, 77, 600):
+        got = guards.sliding_counts(df, "k", "at", 60, stretch)
+        assert got.columns == [*df.columns, "in_window"] and {r["id"]: r["in_window"] for r in got.collect()} == want
+
+
 def test_named_streams_go_on(spark, tmp_path):
     place = str(tmp_path / "in")
     count = lambda: batches.stream_table(spark, place).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
