@@ -103,3 +103,9 @@ def d0_all_duplicates(spark, d):
 def d5_duplicate_totals(spark, d):
     found = dedup.clusters(dedup.exact_keys(table(spark, d, "files")))
     return found.agg(F.count(F.lit(1)).alias("clusters"), F.sum("file_count").alias("files"), F.sum(C("file_count") - 1).alias("duplicates"), F.sum("wasted_bytes").alias("wasted_bytes"))
+
+
+@query("d0_all_members")
+def d0_all_members(spark, d):
+    """The files of exact, near and semantic clusters and which of them are kept."""
+    return dedup.keyed_duplicates(with_quality(spark, d), table(spark, d, "classifications"), "keep_highest_quality")[1]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import history
-from ..session import table
-from ..sources import samples
+from ..session import shared_dir, table
+from ..sources import filetree, samples, sinks
 from ..streaming import batches, guards
 from .catalog import query
 
@@ -61,6 +63,64 @@ def k11_last_events(spark, d):
     return history.latest_events(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id")
 
 
+@query("k3_appended_scan", "SELECT id, file_id, scan_id, overall_score FROM intelligence_scores WHERE scan_id = 10")
+def k3_appended_scan(spark, d):
+    """The rows of a scan, written as a partition of their own and read again."""
+    rows = table(spark, d, "intelligence_scores").where("scan_id = 10").select("id", "file_id", "scan_id", "overall_score")
+    place = f"{shared_dir(spark).rstrip('/')}/siftmill/{spark.sparkContext.applicationId}/appended-{uuid.uuid4().hex}"
+    history.append_scan(rows, place, 10)
+    return history.read_scans(spark, place).select("id", "file_id", C("scan_id").cast("long"), "overall_score")
+
+
+@query("k16_json_lines", "SELECT id, drives, profile, status FROM scans")
+def k16_json_lines(spark, d):
+    """Rows written as lines of JSON and read again."""
+    rows = table(spark, d, "scans").select("id", "drives", "profile", "status")
+    place = f"{shared_dir(spark).rstrip('/')}/siftmill/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex}"
+    sinks.write_json(rows, place)
+    return spark.read.schema(rows.schema).json(place)
+
+
+_STATUS = "CASE WHEN value > 20 THEN 'failed' WHEN value > 10 THEN 'completed' ELSE 'running' END"
+
+
+@query("k7_last_statuses", f"SELECT t.event_type, coalesce((SELECT {_STATUS} AS status FROM events e WHERE e.event_type = t.event_type AND e.value > 15 ORDER BY e.ts DESC, status DESC LIMIT 1), 'open') AS status FROM (SELECT DISTINCT event_type FROM events) t")
+def k7_last_statuses(spark, d):
+    """The last status that a log of changes gives each item, as recommendations have it."""
+    events = table(spark, d, "events")
+    changes = events.where("value > 15").select("event_type", F.expr(_STATUS).alias("status"), C("ts").alias("at"))
+    return history.with_status(events.select("event_type").distinct(), ["event_type"], changes)
+
+
+@query(
+    "k11_stage_states",
+    f"""WITH e AS (SELECT user_id AS scan_id, event_type AS stage, {_STATUS} AS status, ts FROM events), l AS (SELECT *, status <> 'running' AS ended FROM e QUALIFY row_number() OVER (PARTITION BY scan_id, stage ORDER BY ts DESC, status <> 'running' DESC, status DESC) = 1)
+SELECT l.scan_id, l.stage, l.status, m.started_at, CASE WHEN l.ended THEN l.ts END AS completed_at FROM l JOIN (SELECT scan_id, stage, min(ts) AS started_at FROM e GROUP BY ALL) m ON m.scan_id = l.scan_id AND m.stage = l.stage""",
+)
+def k11_stage_states(spark, d):
+    """The state of every stage from a log of events: begun, ended, its last status."""
+    events = table(spark, d, "events").select(C("user_id").alias("scan_id"), C("event_type").alias("stage"), F.expr(_STATUS).alias("status"), C("ts").alias("at"), F.lit(None).cast("string").alias("detail"))
+    return history.states(events).drop("detail")
+
+
+@query("s1_tree")
+def s1_tree(spark, d):
+    """The files of a directory tree, here of the folder with the tables itself."""
+    return filetree.read_tree(spark, filetree.validated_roots([d])).select("filename", "extension", "size_bytes")
+
+
+@query("s5_sampled_tree")
+def s5_sampled_tree(spark, d):
+    """Signature, hashes, type and domain of the files of a tree."""
+    return samples.sampled(filetree.read_tree(spark, filetree.validated_roots([d]))).select("filename", "file_signature", "sha256", "xxhash", "mime_type", "detected_domain", "error")
+
+
+@query("s16_storage")
+def s16_storage(spark, d):
+    """How full the drive with the tables is."""
+    return sinks.storage_summary(spark, [d]).select("anchor", "status")
+
+
 @query("t6_sliding_rates", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def t6_sliding_rates(spark, d):
     return guards.sliding_counts(table(spark, d, "events"), "user_id", "ts").select("event_id", "user_id", "in_window")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..operators import history
 from ..operators import library as L
 from ..session import spread, table
 from .catalog import query, s, s_has, s_in, s_lookup, s_matches, s_words
@@ -159,6 +160,13 @@ def l12_all_but_functions(spark, d):
     return L.extract_all(code(spark, d), "file_id")
 
 
+@query("k10_new_library_rows", f"SELECT DISTINCT id, library, name FROM ({S_LIBRARY}) n WHERE NOT EXISTS (SELECT 1 FROM ({S_LIBRARY}) o WHERE o.id = n.id AND o.library = n.library AND o.name = n.name AND o.id % 3 = 0)")
+def k10_new_library_rows(spark, d):
+    """What an append to the library may add: entries that aren't there, once each; those of every third file are there already."""
+    rows = L.extract_all(code(spark, d), "file_id").select("id", "library", "name")
+    return history.new_rows(rows, rows.where("id % 3 = 0"), ["id", "library", "name"])
+
+
 @query("l12_library_sizes", f"SELECT library, count(*) AS entries, count(DISTINCT id) AS files FROM ({S_LIBRARY}) GROUP BY library")
 def l12_library_sizes(spark, d):
     return L.extract_all(code(spark, d), "file_id").groupBy("library").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("id").alias("files"))
@@ -242,6 +250,12 @@ def e5_error_patterns(spark, d):
     return L.error_patterns(L.errors(texts(spark, d), "file_id"))
 
 
+@query("e5_top_patterns", f"SELECT * FROM ({_S_PATTERNS}) ORDER BY frequency DESC, fingerprint LIMIT 20")
+def e5_top_patterns(spark, d):
+    """The twenty most frequent patterns."""
+    return L.error_patterns(L.errors(texts(spark, d), "file_id")).orderBy(F.desc("frequency"), "fingerprint").limit(20)
+
+
 @query("e5_new_error_patterns", f"WITH p AS ({_S_PATTERNS}) SELECT * FROM p WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE frequency >= 100)")
 def e5_new_error_patterns(spark, d):
     """Patterns that are in no template; the frequent ones are the templates here."""

@@ -161,9 +161,13 @@ expect(
     "d0_all_duplicates", "kind VARCHAR, cluster VARCHAR, file_count BIGINT, keeper_id BIGINT, wasted_bytes BIGINT", ("exact", hashlib.sha256(_HELPER.encode()).hexdigest(), 2, 8, len(_HELPER)),
     ("near", "near:" + hashlib.sha256(_NEAR.encode()).hexdigest()[:32], 2, 10, len(_NEAR) + 2), ("semantic", "sem:LEGAL:notes:101", 2, 102, 85), ("semantic", "sem:LEGAL:notes:103", 2, 104, 91),
 )
+expect(
+    "d0_all_members", "kind VARCHAR, cluster VARCHAR, file_id BIGINT, is_keeper BOOLEAN", *[("exact", hashlib.sha256(_HELPER.encode()).hexdigest(), i, i == 8) for i in (4, 8)], *[("near", "near:" + hashlib.sha256(_NEAR.encode()).hexdigest()[:32], i, i == 10) for i in (9, 10)],
+    *[("semantic", f"sem:LEGAL:notes:{n}", i, i != n) for n in (101, 103) for i in (n, n + 1)],
+)
 
 for _name in [
     "l4_masked_secrets", "l5_design_patterns", "l6_schemas", "l7_endpoints", "l8_prompts", "l9_settings", "l10_error_handlers", "l11_credential_uses", "l12_all_but_functions", "l3_script_functions", "e2_errors", "e3_errors_in_code",
-    "e5_error_patterns", "e5_new_error_patterns", "r4_depends_on", "d3_semantic_links", "prop1_domains", "prop3_partial_projects", "prop6_large_scripts", "prop8_completions",
+    "e5_error_patterns", "e5_top_patterns", "k10_new_library_rows", "e5_new_error_patterns", "r4_depends_on", "d3_semantic_links", "prop1_domains", "prop3_partial_projects", "prop6_large_scripts", "prop8_completions",
 ]:
     again(_name)
