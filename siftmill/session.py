@@ -123,8 +123,10 @@ BYTES_PER_CORE = 4 << 20
 def spread(df: DataFrame, by: str) -> DataFrame:
     """``df`` over all cores where its input is so small that it comes in fewer partitions than these.
 
-    Judged by the optimizer's estimate, so nothing is run for it; larger inputs come as they are and are never shuffled here.
+    Judged by the bytes of the tables that are read, so nothing is run for it; larger inputs come as they are and are never
+    shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df if size >= cores * BYTES_PER_CORE else df.repartition(cores, by)
