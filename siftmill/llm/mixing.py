@@ -168,6 +168,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def nearest_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """``fit``, or the least sum above the budget where that is nearer: what is left out is fitted then."""
+    take = fit(lengths, counts, budget)
+    below, total = budget - int((lengths * take).sum()), int((lengths * counts).sum())
+    if below <= 0 or budget >= total:
+        return take
+    above = counts - fit(lengths, counts, total - budget)
+    return above if int((lengths * above).sum()) - budget < below else take
+
+
 def _fitted(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, order: np.ndarray, left: int) -> int:
     """Fit ``left`` by knapsacks until nothing more is found, add what they take to ``take`` and return its tokens."""
     added = 0
@@ -200,10 +210,12 @@ def mix(
     total: int | None = None,
     met: float = 1.0,
     seed: int = 0,
+    nearest: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, size, copies) and its report by source.
 
-    The report gives target and actual shares, the ``reachable_share`` (the target among the sources that have tokens and
+    A source of few texts may not reach its budget in whole texts: it comes as near as it can, above it too, or stays below
+    it if ``nearest`` is false. The report gives target and actual shares, the ``reachable_share`` (the target among the sources that have tokens and
     may be used) and ``deviation``, the actual share less the reachable one.
     ``sized`` has one row for each text that may be used; ``total`` defaults to the most
     tokens at which sources with ``met`` of the weight keep their proportions exactly (1: all sources that have tokens do;
@@ -230,11 +242,11 @@ def mix(
     able = sum(b.weight for b in plan if b.max_repeats * b.available > 0)
     rows = [(b.source, b.weight, b.max_repeats, b.available, b.tokens, b.passes, b.rest, b.weight / able if able and b.max_repeats * b.available > 0 else 0.0) for b in plan]
     budget = F.broadcast(spark.createDataFrame(rows, "source string, weight double, repeats int, available long, budget long, passes int, rest long, reachable double"))
-    rest = {b.source: b.rest for b in plan}
+    rest, fitting = {b.source: b.rest for b in plan}, nearest_fit if nearest else fit
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ignore_index=True)
-        return pdf.assign(take=fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), rest[pdf["source"].iat[0]]))
+        return pdf.assign(take=fitting(pdf["size"].to_numpy(), pdf["n"].to_numpy(), rest[pdf["source"].iat[0]]))
 
     takes = counts.groupBy("source").applyInPandas(take, "source string, size long, n long, take long")
     takes = stored(takes.where("take > 0"), "mix-takes")

@@ -41,6 +41,17 @@ def test_fit_against_brute_force():
         assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == best
 
 
+def test_nearest_fit():
+    rnd = random.Random(5)
+    for _ in range(60):
+        lengths = np.array(sorted(rnd.sample(range(1, 60), 4)))
+        counts = np.array([rnd.randrange(5) for _ in lengths])
+        budget = rnd.randrange(0, 200)
+        best = min((abs(s - budget), s) for s in {sum(n * w for n, w in zip(take, lengths)) for take in product(*(range(c + 1) for c in counts))})
+        take = M.nearest_fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and abs(int((take * lengths).sum()) - budget) == best[0]
+
+
 @pytest.mark.parametrize("budget,best", [(200_000, 145_000), (100_000, 75_000), (5_000, 5_000), (69_999, 5_000), (140_100, 140_100)])
 def test_long_and_short_documents(budget, best):
     lengths, counts = np.array([100, 70_000]), np.array([50, 10])
@@ -110,7 +121,7 @@ def test_long_documents_fill_the_rest(spark, monkeypatch, short):
     sized, total = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), sum(r[2] for r in rows)
     weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")
     for seed in range(3):
-        mixed, report = M.mix(sized, weights, total=total // 2, seed=seed)
+        mixed, report = M.mix(sized, weights, total=total // 2, seed=seed, nearest=False)
         used, size = {r["doc_id"] for r in mixed.collect()}, {i: n for i, _, n in rows}
         left = total // 2 - sum(size[i] for i in used)
         assert left == total // 2 - report.collect()[0]["actual_tokens"]

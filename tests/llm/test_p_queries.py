@@ -73,4 +73,5 @@ def test_p7_keeps_its_promises(spark):
         assert 1 <= r["copies"] <= caps[r["source"]] and docs[r["doc_id"]]["source"] == r["source"]
     assert max(used.values()) <= max(caps.values())
     shares = {r["source"]: r for r in Q.p7_shares(spark, DIR).collect()}
-    assert set(shares) == set(caps) and all(r["actual_tokens"] <= r["budget_tokens"] for r in shares.values())
+    longest = max(r["n_tokens"] for r in mixed)
+    assert set(shares) == set(caps) and all(abs(r["actual_tokens"] - r["budget_tokens"]) < longest for r in shares.values())
