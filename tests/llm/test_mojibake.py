@@ -112,3 +112,26 @@ def test_frequent_damage_is_not_learned(spark):
     out = {r["doc_id"]: r["restored"] for r in M.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert set(out) == {*range(1000, 1100), *range(2000, 2100)}
     assert {out[i] for i in range(1000, 1100)} == {CLEAN[1]} and all(out[2000 + i] == f"{CLEAN[i % 2]} {i}" for i in range(100))
+
+
+def test_all_cores_validate_the_margin(spark):
+    """Established cores that a small margin would change come after more than 2,000 others."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ends = [(letters[i % 26], letters[(i * 7 + i // 26) % 26]) for i in range(100)]
+    rows = [(f"{a}é{b}", 2500) for a, b in ends] + [(chr(0x4E00 + i), 110) for i in range(2000)] + [(f"{a}Ã©{b}", 100) for a, b in ends]
+    table = spark.createDataFrame(rows, "core string, n long")
+    counts, margin = M.learned(table)
+    assert int(counts[M.offset(1) + M.slot("\x03") % M.SLOTS[2]]) == sum(n for _, n in rows)
+    changed = [top[0] for c, n in rows if n == 100 and (top := M.Model(counts).best(c, M.MARGINS[0])) is not None]
+    assert len(changed) == 100 and margin > max(changed)
+    assert M.learned(table.repartition(7))[1] == margin
+
+
+def test_every_core_is_tried():
+    items = [(a + b + c, 3) for a in ("größ", "prüf", "läng") for b in ("er", "ung", "lich") for c in ("", "en")]
+    items = [(core, n) for text, n in items for core in M.cores(text)]
+    model = M.Model(M.tally(np.zeros(sum(M.SLOTS), np.int64), items))
+    found = M.trials(model, model, items, 4)
+    garbled = [g for c, _ in items for d in M.DAMAGES if (g := M.damage(c, *d)) not in (None, c) and M.CORE.fullmatch(g) and not M.BROKEN.search(g)]
+    assert sum(found.values()) == len(garbled) >= len(items)
+    assert sum(n for (established, _), n in M.trials(model, model, items, 3).items() if established) == len(items)
