@@ -4,9 +4,9 @@
 2. Budgets: a source gets its weight times a common level, at most its tokens times its repeats; the level is raised
    until the budgets add up to the total (sources at their cap stay there, the others keep their proportions).
 3. A budget is some full passes over the source and a rest. The rest is spread over the lengths in proportion to their
-   counts; what remains is fitted by a bounded knapsack over the lengths and counts left, and where that leaves a gap, by
-   another one that may give back some of the documents taken. So a source reaches its budget to the token wherever its
-   lengths allow that at all, whether they are short or long.
+   tokens, however few documents a length has; what remains is fitted by a bounded knapsack over the lengths and counts
+   left, and where that leaves a gap, again with more left to the knapsack, in the end with documents given back. So a
+   source reaches its budget to the token wherever its lengths allow that at all, whether they are short or long.
 4. Of each length, the chosen number of documents is taken in the order of a seeded hash.
 
 Only counts by length meet in one task, never documents: a source of T tokens has at most sqrt(2 T) different lengths
@@ -29,6 +29,8 @@ from ..session import stored
 
 #: Tokens left for the knapsack where longer documents allow that.
 KNAPSACK = 16_384
+#: Documents of mean length that are left to the knapsack, then more where it leaves a gap.
+LEFT = (2, 16, 128)
 #: Sums that a knapsack tells apart; larger budgets are fitted in units of several tokens, rounded up.
 SUMS = 1 << 20
 #: Rows of one length that are ranked together, on average.
@@ -138,21 +140,43 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     return taken
 
 
+def proportional(lengths: np.ndarray, counts: np.ndarray, order: np.ndarray, budget: int, total: int) -> np.ndarray:
+    """How many documents of each length make up ``budget`` or less, so that long and short ones have the same share of it as of the source.
+
+    From the longest on, each length takes what all lengths so far are short of their share; so lengths of one document take
+    turns, and none is left out for having less than a whole document due.
+    """
+    take, seen, used, room = np.zeros_like(counts), 0, 0, max(0, budget)
+    sizes, numbers = lengths.tolist(), counts.tolist()
+    for i in order.tolist():
+        seen += sizes[i] * numbers[i]
+        if (many := min(numbers[i], (seen * room // total - used) // sizes[i])) > 0:
+            take[i] = many
+            used += many * sizes[i]
+    return take
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to ``budget`` or as little less as can be found."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     order = np.argsort(-lengths, kind="stable")
-    take = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
-    left = budget - int((lengths * take).sum())
-    for most in (1, None):  # one more of each length, then as many as there are
-        for i in order:
-            many = min(int(counts[i] - take[i]), (left - KNAPSACK) // int(lengths[i]), most or budget)
-            if many > 0:
-                take[i] += many
-                left -= many * int(lengths[i])
-    left -= _fitted(lengths, counts, take, order, left)
+    mean, take, left = -(-total // int(counts.sum())), None, 0
+    for many in LEFT:
+        again = proportional(lengths, counts, order, budget - min(KNAPSACK, many * mean), total)
+        gap = budget - int((lengths * again).sum())
+        for most in (1, None):  # one more of each length, then as many as there are
+            for i in order:
+                more = min(int(counts[i] - again[i]), (gap - KNAPSACK) // int(lengths[i]), most or budget)
+                if more > 0:
+                    again[i] += more
+                    gap -= more * int(lengths[i])
+        gap -= _fitted(lengths, counts, again, order, gap)
+        if take is None or gap < left:
+            take, left = again, gap
+        if not left or many * mean >= min(KNAPSACK, budget):
+            break
     for most in (2, budget):  # give back some of the longest, then all that there is room for, and fit anew
         if not left:
             break

@@ -135,3 +135,15 @@ def test_default_size_keeps_every_share(spark):
     weights = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1), ("c", 0.5, 1)], "source string, target_weight double, max_repeats int")
     report = {r["source"]: (r["actual_tokens"], r["actual_share"], r["reachable_share"], r["deviation"]) for r in M.mix(sized, weights)[1].collect()}
     assert report == {"a": (40, 0.8, 0.8, 0.0), "b": (10, 0.2, 0.2, 0.0), "c": (0, 0.0, 0.0, 0.0)}
+
+
+def test_long_and_short_documents_keep_their_parts():
+    """Each length has one document: a tenth of the tokens is about a tenth of the documents, not the longest of them."""
+    lengths = np.arange(100, 1100)
+    counts, total = np.ones(1000, np.int64), int(lengths.sum())
+    for share in (0.02, 0.1, 0.5, 0.9):
+        take = M.fit(lengths, counts, int(total * share))
+        assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == int(total * share)
+        assert abs(int(take.sum()) - 1000 * share) <= 0.15 * 1000 * share
+        short = int((take * lengths)[:500].sum()) / int((take * lengths).sum())
+        assert abs(short - int(lengths[:500].sum()) / total) < 0.1
